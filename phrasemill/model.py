@@ -52,13 +52,17 @@ def attribute(words: Column, name: str) -> Column:
 
 def slices(words: Column, n: int) -> Column:
     """All runs of n neighbouring elements, in order."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.slice(words, k, n))).otherwise(F.array().cast("array<array<string>>") if False else F.filter(F.array(words), lambda _: F.lit(False)))
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda k: F.slice(words, k, n))).otherwise(F.filter(F.array(words), lambda _: F.lit(False)))
 
 
 def ngrams(sents: DataFrame, lo: int, hi: int, attr: str = "lemma", sep: str = " ", extra: tuple[str, ...] = ("corpus",)) -> DataFrame:
     """(extra..., n, ngram) of every run of lo..hi words; never across sentences, no shuffle."""
     base = sents.select(*extra, attribute(F.col("words"), attr).alias("a"))
-    pieces = [F.transform(slices(F.col("a"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), F.array_join(g, sep).alias("ngram"))) for n in range(lo, hi + 1)]
+
+    def named(n: int) -> Column:
+        return F.transform(slices(F.col("a"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, sep).alias("ngram")))
+
+    pieces = [named(n) for n in range(lo, hi + 1)]
     return base.select(*extra, F.explode(F.concat(*pieces) if len(pieces) > 1 else pieces[0]).alias("g")).select(*extra, "g.n", "g.ngram")
 
 
