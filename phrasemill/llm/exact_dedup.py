@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import written
+from phrasemill.llm.common import release, sized, written
 
 BLOCK = 4096
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -45,9 +45,9 @@ def named(keys: DataFrame, order: list[str], out: list[Column]) -> DataFrame:
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(rid, doc_id, n_cp, sha, level, name) of every row: rid a row number, (level, name) the identity of its text."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", F.length(F.coalesce("t", F.lit(""))).cast("long").alias("n_cp"), squeezed(F.col("t")).alias("norm"))
-    blocks = base.select("doc_id", "n_cp", "norm", cut(F.col("norm"), block).alias("blocks"))
+    """(rid, doc_id, n_cp, th, sha, level, name) of every row: rid a row number, th a hash of the text, (level, name) its identity."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", F.length(F.coalesce("t", F.lit(""))).cast("long").alias("n_cp"), F.xxhash64("t").alias("th"), squeezed(F.col("t")).alias("norm"))
+    blocks = base.select("doc_id", "n_cp", "th", "norm", cut(F.col("norm"), block).alias("blocks"))
     seed = 0
     while True:
         names = written(
@@ -57,7 +57,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
             break
         seed += 2
-    occ = written(blocks.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_cp", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.transform("blocks", lambda b: digests(b, seed)).alias("hs")), "occurrences")
+    occ = written(blocks.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_cp", "th", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.transform("blocks", lambda b: digests(b, seed)).alias("hs")), "occurrences")
     first = occ.select("rid", F.posexplode("hs").alias("pos", "h")).select("rid", "pos", "h.*").join(names, ["h1", "h2"])
     cur = written(first.groupBy("rid").agg(_in_order("pos", "name")), "level-0")
     done, level = [], 0
@@ -74,7 +74,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    return occ.select("rid", "doc_id", "n_cp", "sha").join(found, "rid")
+    release(docs.sparkSession)
+    return occ.select("rid", "doc_id", "n_cp", "th", "sha").join(found, "rid")
 
 
 def _in_order(pos: str, value: str) -> Column:
@@ -91,16 +92,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("u"), "doc_id", "rid")).alias("best"),
     )
-    return ids.join(best, ["level", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "level", "name", "n_cp")
+    return ids.join(best, ["level", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "level", "name", "n_cp", "th")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all columns of docs."""
-    from pyspark.sql import Window
-
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_cp").alias("__n"))
-    keyed = docs.withColumns({"__k": F.sha2(squeezed(F.col(text_col)).cast("binary"), 256), "__c": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")})
-    out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__sha")) & (F.col("__c") == F.col("__n")))
-    # rows repeated as a whole: one of them
-    w = Window.partitionBy("__id", "__sha", "__n").orderBy(F.lit(0))
-    return out.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with all columns of docs.
+
+    Rows are found again by id, length and a hash of the text, so ids needn't be unique.
+    """
+    key = ["doc_id", "n_cp", "th"]
+    rows = exact_dedup(docs, id_col, text_col).groupBy(*key).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
+    rows = written(rows.where("not stays or n > 1"), "decisions")
+    release(docs.sparkSession)
+    keyed = docs.withColumns({"__id": F.col(id_col), "__n": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__t": F.xxhash64(text_col)})
+
+    def same(other: DataFrame) -> Column:
+        return F.col("__id").eqNullSafe(other["doc_id"]) & (F.col("__n") == other["n_cp"]) & (F.col("__t") == other["th"])
+
+    gone, repeated = rows.where("not stays").select(*key), rows.where("stays").select(*key)
+    out = keyed.join(sized(gone, gone.count()), same(gone), "left_anti")
+    if not (n := repeated.count()):
+        return out.select(*docs.columns)
+    # rows that are repeated as a whole: one of each
+    single = out.join(sized(repeated, n), same(repeated), "left_anti")
+    several = out.join(sized(repeated, n), same(repeated), "left_semi").dropDuplicates(["__id", "__n", "__t"])
+    return single.unionByName(several).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
-from phrasemill.llm.common import prepare, written
+from phrasemill.llm.common import prepare, release, sized, written
 
 SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND, HELD = 5, 50, 0.8, 4, 2, 15, 1_500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -353,10 +353,10 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
     return out
 
 
-def _regions(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, lo, hi, words): the words of each wanted region as text."""
+def _regions(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, lo, hi, words): the words of each wanted region as text; rows: at most so many regions."""
     lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(lists, "doc")
+    joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(sized(lists, rows), "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,8 +377,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     one in a document with a smaller id that it nearly repeats."""
     prepare(docs.sparkSession)
     cand = written(candidates(links(docs, id_col, text_col, min_words)).distinct(), "candidates")
+    release(docs.sparkSession)
     wanted = cand.select("doc", "lo", "hi").unionByName(cand.select(F.col("doc2").alias("doc"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))
-    text = written(_regions(docs, wanted, id_col, text_col), "regions")
+    text = written(_regions(docs, wanted, 2 * cand.count(), id_col, text_col), "regions")
+    release(docs.sparkSession)
     own = cand.join(text.withColumnRenamed("words", "a"), ["doc", "lo", "hi"])
     both = own.join(text.select(F.col("doc").alias("doc2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("words").alias("b")), ["doc2", "lo2", "hi2"])
 
@@ -398,8 +400,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that nearly repeat one of a document with a smaller id; a document left empty goes."""
-    spans = passages(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(spans, docs[id_col] == F.col("__doc"), "left").drop("__doc")
+    found = written(passages(docs, id_col, text_col).select("doc_id", "start", "end").distinct(), "passages")
+    release(docs.sparkSession)
+    spans = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    joined = docs.join(sized(spans, found.count()), docs[id_col] == F.col("__doc"), "left").drop("__doc")
     at = docs.columns.index(text_col)
     sizes = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
