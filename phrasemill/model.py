@@ -6,6 +6,9 @@ A word is STRUCT<surface, lemma, pos>; undefined attributes are NULL and group w
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, corpus_col: str = "lang") -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), corpus_col=corpus_col)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/phrasemill-{name}-{uuid.uuid4().hex}"

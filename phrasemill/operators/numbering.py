@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phrasemill.model import scratch
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rank", buckets: int | None = None) -> DataFrame:
     """df with 1, 2, 3, ... in a total order.
 
-    Rows go to range partitions; the window over the partition's number works on one partition's rows at a time, and the
-    offsets are sums over one row per partition.
+    Rows go to range partitions, which are written once: their bounds are sampled, so a second evaluation could draw
+    others. The window works on one partition's rows at a time; the offsets are sums over one row per partition.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    path = scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path)
     counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))

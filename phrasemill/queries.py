@@ -5,8 +5,6 @@ Documents are the corpus: a line is a sentence, `lang` the corpus. Every query r
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +57,6 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/phrasemill-{name}-{uuid.uuid4().hex}"
-
-
 # association -------------------------------------------------------------------------------------------------------
 
 
@@ -758,7 +751,7 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines_to(df: DataFrame, name: str) -> str:
-    path = scratch(df.sparkSession, name)
+    path = model.scratch(df.sparkSession, name)
     df.select("value").write.text(path)
     return path
 
