@@ -38,7 +38,7 @@ def log_likelihood(o: Column, c: Column, size: Column) -> Column:
     n = size.cast("double") - 1
     c1, c2 = F.greatest(c[0], o).cast("double"), F.greatest(F.get(c, 1), o).cast("double")
     cells = [(o.cast("double"), c1, c2), (c1 - o, c1, n - c2), (c2 - o, n - c1, c2), (n - c1 - c2 + o, n - c1, n - c2)]
-    terms = [F.when(seen > 0, seen * (F.log10(seen) - F.log10(a * b / n))).otherwise(0.0) for seen, a, b in cells]
+    terms = [F.when(seen > 0, seen * (F.log10(seen) - F.log10(a / size * (b / size) * n))).otherwise(0.0) for seen, a, b in cells]
     return F.when(F.size(c) == 2, 2 * (terms[0] + terms[1] + terms[2] + terms[3])).otherwise(0.0)
 
 

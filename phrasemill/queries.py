@@ -37,10 +37,10 @@ ASSOC = BIGRAMS + """,
 cells AS (SELECT *, CAST(c1 AS DOUBLE) / size * (CAST(c2 AS DOUBLE) / size) * (size - 1) AS e, CAST(size - 1 AS DOUBLE) AS m,
   CAST(greatest(c1, o) AS DOUBLE) AS a1, CAST(greatest(c2, o) AS DOUBLE) AS a2 FROM big),
 scored AS (SELECT w1, w2, o, c1, c2, CAST(o AS DOUBLE) / size AS mle, log2(o / e) AS pmi, (o - e) / sqrt(CAST(o AS DOUBLE)) AS t, CAST(2 * o AS DOUBLE) / (c1 + c2) AS dice,
-  2 * (o * (log10(o) - log10(a1 * a2 / m))
-    + CASE WHEN a1 - o > 0 THEN (a1 - o) * (log10(a1 - o) - log10(a1 * (m - a2) / m)) ELSE 0 END
-    + CASE WHEN a2 - o > 0 THEN (a2 - o) * (log10(a2 - o) - log10((m - a1) * a2 / m)) ELSE 0 END
-    + CASE WHEN m - a1 - a2 + o > 0 THEN (m - a1 - a2 + o) * (log10(m - a1 - a2 + o) - log10((m - a1) * (m - a2) / m)) ELSE 0 END) AS ll FROM cells)"""
+  2 * (o * (log10(o) - log10(a1 / size * (a2 / size) * m))
+    + CASE WHEN a1 - o > 0 THEN (a1 - o) * (log10(a1 - o) - log10(a1 / size * ((m - a2) / size) * m)) ELSE 0 END
+    + CASE WHEN a2 - o > 0 THEN (a2 - o) * (log10(a2 - o) - log10((m - a1) / size * (a2 / size) * m)) ELSE 0 END
+    + CASE WHEN m - a1 - a2 + o > 0 THEN (m - a1 - a2 + o) * (log10(m - a1 - a2 + o) - log10((m - a1) / size * ((m - a2) / size) * m)) ELSE 0 END) AS ll FROM cells)"""
 
 
 def query(name: str, sql: str | None = None):
