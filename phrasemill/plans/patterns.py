@@ -141,15 +141,21 @@ def _code_regex(node, classes: dict[Word, str]) -> str:
     return f"(?:{inner})" + ("" if (a, b) == (1, 1) else "{%d,%s}" % (a, "" if b is None else b))
 
 
-def spans(words: Column, pattern: Group) -> Column:
+def letters(words: Column, pattern: Group) -> Column:
+    """A letter per word: which of the pattern's word tests it passes."""
+    kinds = list(dict.fromkeys(_words(pattern)))
+    number = lambda w: reduce(lambda x, y: x + y, [F.when(word_test(k, w), 1 << i).otherwise(0) for i, k in enumerate(kinds)])
+    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(LETTERS), number(w) + 1, F.lit(1))), "")
+
+
+def spans(words: Column, pattern: Group, code: Column | None = None) -> Column:
     """ARRAY<STRUCT<s, e>> of all full matches of a plain pattern, e exclusive, longest first for each start."""
     kinds = list(dict.fromkeys(_words(pattern)))
     if len(kinds) > 5:
         raise ValueError("more than five different words: use the matcher")
     size = 1 << len(kinds)
     classes = {w: "[" + "".join(LETTERS[m] for m in range(size) if m >> k & 1) + "]" for k, w in enumerate(kinds)}
-    number = lambda w: reduce(lambda x, y: x + y, [F.when(word_test(k, w), 1 << i).otherwise(0) for i, k in enumerate(kinds)])
-    code = F.array_join(F.transform(words, lambda w: F.substring(F.lit(LETTERS), number(w) + 1, F.lit(1))), "")
+    code = letters(words, pattern) if code is None else code
     regex = "^" + _code_regex(pattern, classes) + "$"
     lo, hi = _bounds(pattern)
     used = "^[" + "".join(LETTERS[1:size]) + "]+"
@@ -194,7 +200,10 @@ def match(sents: DataFrame, patterns: list[Group], mode: str = "All", overlappin
     out = None
     for k, p in enumerate(patterns):
         if _plain(p) and not id_order and len(set(_words(p))) <= 5:
-            found = sents.select("doc_id", "sent", "corpus", "words", F.explode(choose(spans(F.col("words"), p), mode, overlapping)).alias("m"))
+            # the letters, then the spans, each as a column of its own: inlined, they would be made anew for every start
+            coded = sents.select("doc_id", "sent", "corpus", "words", F.explode(F.array(letters(F.col("words"), p))).alias("code"))
+            spanned = coded.select("doc_id", "sent", "corpus", "words", F.explode(F.array(spans(F.col("words"), p, F.col("code")))).alias("all"))
+            found = spanned.select("doc_id", "sent", "corpus", "words", F.explode(choose(F.col("all"), mode, overlapping)).alias("m"))
             one = found.select("doc_id", "sent", "corpus", F.lit(k).alias("pattern"), F.sequence("m.s", F.col("m.e") - 1).alias("places"), F.slice("words", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("words"))
         else:
             one = _walk(sents, p, k, mode, overlapping, id_order)
