@@ -7,7 +7,8 @@ with the nearest smaller values at both sides as their ends, all in numpy.
 
 Windows with the same hash and shingle form a group. Windows of a task are grouped first and send one row per group, so a
 passage in very many documents costs one row per task. Within a group, windows are told apart by what another hash sees
-around c; each is linked to the first of its kind, and the firsts to the group's first, never all with all. Links of two
+around c; each is linked to the first of its kind as a stream in the order of key and kind, and the firsts to the group's
+first in a second one. Each holds one window, however large a group is; never all are linked with all. Links of two
 documents are joined as intervals across the hashes; where at least `ENOUGH` hashes overlap, the words of both regions
 are fetched and verified: a passage counts if it has `MIN_WORDS` words on both sides and the Jaccard similarity of its
 shingles is at least `SIMILAR`.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,22 +169,38 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()
 SCHEMA = "key long, kind long, doc long, l int, c int, r int, doc2 long, l2 int, c2 int, r2 int"
 
 
-def _grouped(w: dict[str, np.ndarray], final: bool) -> list[dict[str, np.ndarray]]:
-    """Links of each window to the first of its (key, kind), and the firsts as windows; final: also links among those."""
+def _grouped(w: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """Links of each window to the first of its (key, kind), and the firsts as windows."""
     order = np.lexsort((w["c"], w["doc"], w["kind"], w["key"]))
     w = {k: x[order] for k, x in w.items()}
     new = np.r_[True, (w["key"][1:] != w["key"][:-1]) | (w["kind"][1:] != w["kind"][:-1])]
     firsts = np.flatnonzero(new)
     lead = firsts[np.cumsum(new) - 1]
-    out = [_links(w, np.flatnonzero(~new), lead)]
-    f = {k: x[firsts] for k, x in w.items()}
-    if not final:
-        return [*out, f]
-    order = np.lexsort((f["c"], f["doc"], f["key"]))
-    f = {k: x[order] for k, x in f.items()}
-    new = np.r_[True, f["key"][1:] != f["key"][:-1]]
-    top = np.flatnonzero(new)
-    return [*out, _links(f, np.flatnonzero(~new), top[np.cumsum(new) - 1])]
+    return [_links(w, np.flatnonzero(~new), lead), {k: x[firsts] for k, x in w.items()}]
+
+
+def linked(parts: Iterator[dict[str, np.ndarray]], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Links of each window to the first with its values of `by`. Windows come in the order of `by`, doc and c; only one is
+    held from part to part. If by is (key, kind), also the firsts of keys that have several kinds."""
+    held: dict[str, np.ndarray] | None = None
+    sent = False  # whether held is among the firsts given out
+    for w in parts:
+        if not len(w["key"]):
+            continue
+        if held is not None:
+            w = {k: np.concatenate([held[k], w[k]]) for k in FIELDS[:6]}
+        new = np.r_[True, np.logical_or.reduce([w[k][1:] != w[k][:-1] for k in by])]
+        firsts = np.flatnonzero(new)
+        yield _links(w, np.flatnonzero(~new), firsts[np.cumsum(new) - 1])
+        if len(by) > 1:
+            key = w["key"][firsts]
+            same = key[1:] == key[:-1]
+            several = np.r_[False, same] | np.r_[same, False]
+            last = several[-1] or (sent and len(firsts) == 1)
+            several[0] &= not sent
+            yield {k: w[k][firsts[several]] for k in FIELDS[:6]}
+            sent = bool(last)
+        held = {k: w[k][firsts[-1:]] for k in FIELDS[:6]}
 
 
 def _links(w: dict[str, np.ndarray], rows: np.ndarray, lead: np.ndarray) -> dict[str, np.ndarray]:
@@ -211,7 +229,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                for x in _grouped({k: np.concatenate([h[k] for h in held]) for k in FIELDS[:6]}, False):
+                for x in _grouped({k: np.concatenate([h[k] for h in held]) for k in FIELDS[:6]}):
                     yield from _pieces(x)
             held.clear()
 
@@ -227,38 +245,42 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
                     n = 0
         yield from flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pd.DataFrame | None = None
-
-        def done(df: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-            made = df["doc2"].notna().to_numpy()
-            if made.any():
-                yield pa.RecordBatch.from_pandas(df[made].astype({f: "int64" for f in FIELDS}), schema=pa.schema(list(zip(FIELDS, _TYPES, strict=True))), preserve_index=False)
-            w = df[~made]
-            same = w["key"].duplicated(keep=False)  # a key of one task's window has nothing to link
-            w = w[same]
-            if len(w):
-                for x in _grouped({f: w[f].to_numpy() for f in FIELDS[:6]}, True):
-                    yield from _pieces(x)
+    def merge(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        made: list[pa.RecordBatch] = []  # links of a task's own windows
+
+        def windows() -> Iterator[dict[str, np.ndarray]]:
+            held: list[pa.RecordBatch] = []
+            n = 0
+
+            def taken() -> dict[str, np.ndarray]:
+                t = pa.Table.from_batches(held)
+                return {k: t.column(k).to_numpy() for k in FIELDS[:6]}
+
+            for b in batches:
+                mine = b.column("doc2").is_null()
+                made.append(b.filter(pc.invert(mine)))
+                held.append(b.filter(mine))
+                n += b.num_rows
+                if n > 100_000:
+                    yield taken()
+                    held.clear()
+                    n = 0
+            if held:
+                yield taken()
 
-        for b in batches:
-            df = b.to_pandas()
-            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
-            if len(df) < 200_000:
-                rest = df
-                continue
-            tail = df["key"] == df["key"].iloc[-1]
-            rest = df[tail]
-            yield from done(df[~tail])
-            if len(rest) > 1_000_000:  # a very large group: go on with its first window, linked to the others
-                yield from done(rest)
-                w = rest[rest["doc2"].isna()]
-                rest = w.sort_values(["doc", "c"]).drop_duplicates(["key", "kind"]).head(10_000)
-        if rest is not None and len(rest):
-            yield from done(rest)
+        for x in linked(windows(), by):
+            yield from made
+            made.clear()
+            yield from _pieces(x)
+        yield from made
 
     lean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(make, SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(merge, SCHEMA)
+    # windows of a key stay together; links already made go anywhere
+    spread = lean.mapInArrow(make, SCHEMA).repartition("key", F.when(F.col("doc2").isNotNull(), F.col("doc")))
+    once = written(spread.sortWithinPartitions("key", "kind", "doc", "c").mapInArrow(lambda b: merge(b, ("key", "kind")), SCHEMA), "links")
+    release(docs.sparkSession)
+    firsts = once.where("doc2 is null").repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(lambda b: merge(b, ("key",)), SCHEMA)
+    return once.where("doc2 is not null").unionByName(firsts)
 
 
 def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
