@@ -1,8 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
 A block is a line of a text, extended by as many following words as the longest phrase has besides its first, so that
-phrases across lines lie in a block. A template is found in a block if the block has at least its threshold's share of
-the template's distinct words. Words are ordered by their frequency in all texts, rarest first. A template of n words
+phrases across lines lie in a block. Notices wrapped over lines are looked for in windows besides: as many consecutive
+words, wherever lines end, as the template has, divided by its threshold. A template is found in a block or window that
+has at least its threshold's share of the template's distinct words. Words are ordered by their frequency in all texts, rarest first. A template of n words
 that needs m of them must share one of its first n - m + 1 with the block (prefix filter); a block with fewer than m
 words is out (length filter); and a first common word too late in either order leaves too few behind it (positional
 filter). What is left is verified on the words themselves. Phrases are templates that need all their words; their places
@@ -115,6 +116,7 @@ class Join:
         keys = vocab_keys([vocab[r] for r in prefix])
         order = np.argsort(keys)
         self.prefix_keys, self.prefix_words = keys[order], [vocab[prefix[k]] for k in order]
+        self.widths = [math.ceil(len(w) / t.threshold - 1e-9) for t, w in zip(templates, self.words, strict=True)]
         self.lap = max([len(w) for w in self.words[:n_phrases]] + [1]) - 1
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple]:
@@ -129,12 +131,23 @@ class Join:
         found: dict[int, tuple[set, set, set, float]] = {}
         # (block's first word, its end, the text): what shares a prefix word, with the templates of that word
         blocks: dict[tuple[int, int, int], set[int]] = {}
+        # (the text, a notice): stretches of words in which all its windows with a prefix word lie
+        stretches: dict[tuple[int, int], list[list[int]]] = {}
         for k, h in enumerate(hits.tolist()):
             w = self.prefix_words[at[h]]
             if b.data[b.starts[h] : b.ends[h]] != w:
                 continue
             t, line = int(text_of[k]), int(line_of[k])
             lo, hi = int(b.first[t]), int(b.first[t + 1])
+            for c in self.index[self.rank[w]]:
+                if c < self.n_phrases:
+                    continue
+                a, e = max(lo, int(h) - self.widths[c] + 1), min(hi, int(h) + self.widths[c])
+                own = stretches.setdefault((t, c), [])
+                if own and a <= own[-1][1]:
+                    own[-1][1] = e
+                else:
+                    own.append([a, e])
             seen = -1
             for back in range(self.lap + 1):  # its own line, and those that reach it
                 p = h - back
@@ -168,11 +181,36 @@ class Join:
                     base.add(self.templates[c].label), places.update((c, k) for k in here)
                 labels.add(self.templates[c].label)
                 score[0] = max(score[0], overlap / len(self.sets[c]))
+        for (t, c), own in stretches.items():
+            overlap = max(self._best([b.data[b.starts[k] : b.ends[k]] for k in range(a, e)], c) for a, e in own)
+            if overlap >= self.need[c]:
+                _, labels, _, score = found.setdefault(t, (set(), set(), set(), [0.0]))
+                labels.add(self.templates[c].label)
+                score[0] = max(score[0], overlap / len(self.sets[c]))
         for t in range(len(texts)):
             base, labels, places, score = found.get(t, ((), (), (), [0.0]))
             at_ = [k for _, k in places]
             yield int(n_words[t]), len(at_), min(at_, default=None), max(at_, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score[0]
 
+    def _best(self, words: list[bytes], c: int) -> int:
+        """The most distinct words of template c in a window of the words."""
+        mine, width = set(self.words[c]), self.widths[c]
+        at = [(k, w) for k, w in enumerate(words) if w in mine]
+        if len(at) < self.need[c]:
+            return 0
+        count: dict[bytes, int] = {}
+        best = first = 0
+        for k, w in at:
+            count[w] = count.get(w, 0) + 1
+            while at[first][0] <= k - width:
+                x = at[first][1]
+                count[x] -= 1
+                if not count[x]:
+                    del count[x]
+                first += 1
+            best = max(best, len(count))
+        return best
+
 
 def vocab_keys(words: list[bytes]) -> np.ndarray:
     data = b" ".join(words)
@@ -218,7 +256,7 @@ def frequencies(docs: DataFrame, words: list[bytes], text_col: str = "text") ->
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple[Template, ...] = PHRASES, notices: tuple[Template, ...] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    score: the largest share of a found template's words that a block has (1 for phrases), 0 if nothing is found.
+    score: the largest share of a found template's words that a block or window has (1 for phrases), 0 if nothing is found.
     """
     templates = (*phrases, *notices)
     freq = frequencies(docs, sorted({w for t in templates for w in plain_words(t.text)}), text_col)

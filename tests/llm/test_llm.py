@@ -205,6 +205,39 @@ def test_license_scan_against_brute_force(spark):
         assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    r = np.random.default_rng(11)
+    texts = []
+    for n in license_scan.NOTICES:
+        for gap in (1, 3, 8):
+            w = n.text.split()
+            for _ in range(int(r.integers(0, 1 + len(w) // 4))):
+                w[int(r.integers(0, len(w)))] = "other"
+            lines = [" ".join(w[k : k + gap]) for k in range(0, len(w), gap)]
+            texts.append(prose(12, gap) + "\n * " + "\n * ".join(lines) + "\n" + prose(20, gap))
+    texts += ["\n\n".join(license_scan.NOTICES[3].text.split()), "Licensed under\n" + prose(8, 1) + " the Apache\nLicense, Version 2.0", *ODD]
+    got = {x.doc_id: x for x in license_scan.license_scan(table(spark, texts)).collect()}
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    wrapped = set()
+    for k, t in enumerate(texts):
+        w = pattern.findall((t or "").lower())
+        labels, score = set(), 0.0
+        for n in license_scan.NOTICES:
+            x = pattern.findall(n.text.lower())
+            width = -int(-len(x) / n.threshold // 1)
+            blocks = [pattern.findall(line) for line in (t or "").lower().split("\n")] + [w[i : i + width] for i in range(max(1, len(w) - width + 1))]
+            best = max(len(set(x) & set(b)) / len(set(x)) for b in blocks)
+            if best >= n.threshold:
+                labels.add(n.label)
+                score = max(score, best)
+        if got[k].n_base == 0:
+            assert (got[k].labels, got[k].score) == (",".join(sorted(labels)), score)
+            wrapped |= labels
+        else:
+            assert labels <= set(got[k].labels.split(","))
+    assert {"mit", "bsd", "mpl", "apache", "unlicense", "cc-by"} <= wrapped
+
+
 # search --------------------------------------------------------------------------------------------------------------
 
 
