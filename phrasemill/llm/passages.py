@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from phrasemill.llm.bpe import parts_of
 from phrasemill.llm.common import prepare, release, sized, written
 
-SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND, HELD = 5, 50, 0.8, 4, 2, 15, 1_500_000
+SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND, HELD = 5, 50, 0.8, 10, 2, 15, 1_500_000
+AT_ONCE = 5  # hashes whose windows are on disk at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _INK = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _MULT = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -123,8 +124,9 @@ def compact_windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return left[keep], c[keep], r[keep]
 
 
-def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Compact windows of the texts: hash, key, kind, row, l, c, r (places are words)."""
+def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = MIN_WORDS, only: range | None = None) -> dict[str, np.ndarray]:
+    """Compact windows of the texts under the hashes `only`, or all: hash, key, kind, row, l, c, r (places are words)."""
+    only = range(hashes) if only is None else only
     words, n = word_ids(texts)
     least = min_words - SHINGLE + 1
     ends = np.cumsum(n)
@@ -139,15 +141,15 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
     dst = np.repeat(place - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
     src = dst + np.repeat(base - place, m)
     size = int(place[-1] + m[-1] + 1)
-    values = []
+    values = {}
     own = s[src]
-    for h in range(hashes):
+    for h in sorted({x for h in only for x in (h, (h + 1) % hashes)}):
         v = np.zeros(size, dtype=np.uint32)
         v[dst] = np.maximum((mixed(own + _MULT[50 + h]) >> np.uint64(32)).astype(np.uint32), 1)
-        values.append(v)
+        values[h] = v
     full = np.zeros(size, dtype=np.uint64)
     full[dst] = own
-    for h in range(hashes):
+    for h in only:
         left, c, r = compact_windows(values[h], least)
         # what the next hash sees around c, inside the window
         other = values[(h + 1) % hashes]
@@ -160,7 +162,7 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
         for name, x in (("l", left), ("c", c), ("r", r)):
             cols[name].append((x - off).astype(np.int32))
     out = {k: np.concatenate(x) for k, x in cols.items()}
-    out["key"] = ((out["key"] >> np.uint64(2)) << np.uint64(2) | np.repeat(np.arange(hashes, dtype=np.uint64), [len(x) for x in cols["c"]])).view(np.int64)
+    out["key"] = ((out["key"] >> np.uint64(4)) << np.uint64(4) | np.repeat(np.array(only, dtype=np.uint64), [len(x) for x in cols["c"]])).view(np.int64)
     return out
 
 
@@ -220,10 +222,10 @@ def _pieces(x: dict[str, np.ndarray], rows: int = 100_000) -> Iterator[pa.Record
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, hashes: int = HASHES) -> DataFrame:
-    """Links (key, doc, l, c, r, doc2, l2, c2, r2) of windows that share a min-hash; the last two bits of key are the hash."""
+    """Links (key, doc, l, c, r, doc2, l2, c2, r2) of windows that share a min-hash; the last four bits of key are the hash."""
     prepare(docs.sparkSession)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch], only: range) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         n = 0
 
@@ -236,7 +238,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, texts in parts_of(b.column(1), 3_000_000):
-                w = windows_of(texts, hashes, min_words)
+                w = windows_of(texts, hashes, min_words, only)
                 w["doc"] = ids[lo + w.pop("row")]
                 held.append(w)
                 n += len(w["key"])
@@ -275,12 +277,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         yield from made
 
     lean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    # windows of a key stay together; links already made go anywhere
-    spread = lean.mapInArrow(make, SCHEMA).repartition("key", F.when(F.col("doc2").isNotNull(), F.col("doc")))
-    once = written(spread.sortWithinPartitions("key", "kind", "doc", "c").mapInArrow(lambda b: merge(b, ("key", "kind")), SCHEMA), "links")
-    release(docs.sparkSession)
-    firsts = once.where("doc2 is null").repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(lambda b: merge(b, ("key",)), SCHEMA)
-    return once.where("doc2 is not null").unionByName(firsts)
+    found = None
+    for at in range(0, hashes, AT_ONCE):
+        only = range(at, min(at + AT_ONCE, hashes))
+        # windows of a key stay together; links already made go anywhere
+        spread = lean.mapInArrow(lambda b, only=only: make(b, only), SCHEMA).repartition("key", F.when(F.col("doc2").isNotNull(), F.col("doc")))
+        once = written(spread.sortWithinPartitions("key", "kind", "doc", "c").mapInArrow(lambda b: merge(b, ("key", "kind")), SCHEMA), "links")
+        del spread
+        release(docs.sparkSession)
+        found = once if found is None else found.unionByName(once)
+    firsts = found.where("doc2 is null").repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(lambda b: merge(b, ("key",)), SCHEMA)
+    return found.where("doc2 is not null").unionByName(firsts)
 
 
 def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
@@ -296,7 +303,7 @@ def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
             # a link goes on with the one before it if their windows meet in both documents
             cut = np.r_[True, (d[1:] != d[:-1]) | (d2[1:] != d2[:-1]) | (left[1:] > r[:-1]) | (np.maximum(l2[1:], l2[:-1]) > np.minimum(r2[1:], r2[:-1]))]
             starts = np.flatnonzero(cut)
-            bits = np.bitwise_or.reduceat(1 << (df["key"].to_numpy() & 3), starts)
+            bits = np.bitwise_or.reduceat(1 << (df["key"].to_numpy() & 15), starts)
             ok = np.bitwise_count(bits) >= enough
             out = pd.DataFrame({"doc": d[starts], "lo": np.minimum.reduceat(left, starts), "hi": np.maximum.reduceat(r, starts), "doc2": d2[starts], "lo2": np.minimum.reduceat(l2, starts), "hi2": np.maximum.reduceat(r2, starts)})
             return out[ok]

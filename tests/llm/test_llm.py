@@ -423,6 +423,24 @@ def test_links_of_a_very_large_group():
     assert sum(len(x["doc"]) for x in links) == len(firsts) - 1 and {d for x in links for d in x["doc2"].tolist()} == {0}
 
 
+def near_copies(n):
+    """Pairs of documents that share a passage of 50 words but for one in the middle: similarity 41/51."""
+    r = np.random.default_rng(41)
+    texts = []
+    for k in range(n):
+        w = [f"p{x}" for x in r.integers(0, 10**6, 50)]
+        for side in (0, 1):
+            around = [f"a{x}" for x in r.integers(0, 10**6, 120)]
+            texts.append(" ".join([*around[:60], *w[:25], *([w[25]] if not side else ["changed"]), *w[26:], *around[60:]]))
+    return texts
+
+
+def test_passages_find_near_copies(spark):
+    n = 2000
+    found = {(r.doc_id, r.other_id) for r in passages.passages(table(spark, near_copies(n))).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(n)}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
