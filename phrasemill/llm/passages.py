@@ -290,32 +290,65 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     return found.where("doc2 is not null").unionByName(firsts)
 
 
+def regions(df: pd.DataFrame, enough: int = ENOUGH) -> pd.DataFrame:
+    """Regions of the links: links of two documents whose windows meet in both are in one, however they are ordered."""
+    df = df.sort_values(["doc", "doc2", "c", "c2", "key"])
+    d, d2 = df["doc"].to_numpy(), df["doc2"].to_numpy()
+    left, r, l2, r2 = (df[x].to_numpy() for x in ("l", "r", "l2", "r2"))
+    # runs of links that each meet the one before; runs are joined below
+    cut = np.r_[True, (d[1:] != d[:-1]) | (d2[1:] != d2[:-1]) | (left[1:] > r[:-1]) | (np.maximum(l2[1:], l2[:-1]) > np.minimum(r2[1:], r2[:-1]))]
+    at = np.flatnonzero(cut)
+    bits = np.bitwise_or.reduceat(1 << (df["key"].to_numpy() & 15), at)
+    d, d2, lo, hi, lo2, hi2 = d[at], d2[at], np.minimum.reduceat(left, at), np.maximum.reduceat(r, at), np.minimum.reduceat(l2, at), np.maximum.reduceat(r2, at)
+    pairs = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (d2[1:] != d2[:-1])])
+    sizes = np.diff(np.r_[pairs, len(d)])
+    several = (sizes > 1) & (np.bitwise_count(np.bitwise_or.reduceat(bits, pairs)) >= enough)
+    part = np.arange(len(d))
+    for k in np.flatnonzero(several).tolist():
+        own = slice(pairs[k], pairs[k] + sizes[k])
+        part[own] = pairs[k] + _meeting(lo[own], hi[own], lo2[own], hi2[own])
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    out = pd.DataFrame({"doc": d[order][at], "lo": np.minimum.reduceat(lo[order], at), "hi": np.maximum.reduceat(hi[order], at), "doc2": d2[order][at], "lo2": np.minimum.reduceat(lo2[order], at), "hi2": np.maximum.reduceat(hi2[order], at)})
+    return out[np.bitwise_count(np.bitwise_or.reduceat(bits[order], at)) >= enough]
+
+
+def _meeting(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
+    """The component of each box among those that meet in both directions, by a sweep with the boxes still open."""
+    root = list(range(len(lo)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    a, b, a2, b2 = lo.tolist(), hi.tolist(), lo2.tolist(), hi2.tolist()
+    still: list[int] = []
+    for k in np.argsort(lo, kind="stable").tolist():
+        still = [x for x in still if b[x] >= a[k]]
+        for x in still:
+            if a2[x] <= b2[k] and a2[k] <= b2[x]:
+                i, j = top(x), top(k)
+                root[max(i, j)] = min(i, j)
+        still.append(k)
+    return np.array([top(k) for k in range(len(root))])
+
+
 def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """Regions (doc, lo, hi, doc2, lo2, hi2), in words, in which windows of at least `enough` hashes overlap; doc > doc2."""
 
     def join(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
-        def solve(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values(["doc", "doc2", "c"], kind="stable")
-            d, d2, c, c2 = (df[x].to_numpy() for x in ("doc", "doc2", "c", "c2"))
-            left, r, l2, r2 = (df[x].to_numpy() for x in ("l", "r", "l2", "r2"))
-            # a link goes on with the one before it if their windows meet in both documents
-            cut = np.r_[True, (d[1:] != d[:-1]) | (d2[1:] != d2[:-1]) | (left[1:] > r[:-1]) | (np.maximum(l2[1:], l2[:-1]) > np.minimum(r2[1:], r2[:-1]))]
-            starts = np.flatnonzero(cut)
-            bits = np.bitwise_or.reduceat(1 << (df["key"].to_numpy() & 15), starts)
-            ok = np.bitwise_count(bits) >= enough
-            out = pd.DataFrame({"doc": d[starts], "lo": np.minimum.reduceat(left, starts), "hi": np.maximum.reduceat(r, starts), "doc2": d2[starts], "lo2": np.minimum.reduceat(l2, starts), "hi2": np.maximum.reduceat(r2, starts)})
-            return out[ok]
-
         for p in pairs:
             df = p if rest is None else pd.concat([rest, p], ignore_index=True)
             tail = (df["doc"] == df["doc"].iloc[-1]) & (df["doc2"] == df["doc2"].iloc[-1]) if len(df) else df["doc"].isna()
             rest = df[tail]
             if (~tail).any():
-                yield solve(df[~tail])
+                yield regions(df[~tail], enough)
         if rest is not None and len(rest):
-            yield solve(rest)
+            yield regions(rest, enough)
 
     swap = F.col("doc") < F.col("doc2")
     sides = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("doc", "doc2"), ("l", "l2"), ("c", "c2"), ("r", "r2"))] + [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("doc", "doc2"), ("l", "l2"), ("c", "c2"), ("r", "r2"))]
@@ -326,7 +359,8 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
     """Passages (start, end, start2, end2, similarity) in words of two regions that are near-duplicates.
 
     Runs of equal shingles are chained in the order of both regions; from each run on, the longest stretch of runs that is
-    similar enough is a passage. So every run of min_words equal words is in one.
+    similar enough is a passage. Where shingles of b repeat, runs of min_words equal words that no passage holds are added.
+    So every run of min_words words of a that is anywhere in b is in one.
     """
     if len(a) < min_words or len(b) < min_words:
         return []
@@ -379,6 +413,38 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
             found = [(*whole, jac)] if jac >= similar else [(*q, 1.0) for q in singles]
             out += [(lo, hi + SHINGLE - 1, lo2, hi2 + SHINGLE - 1, float(v)) for lo, hi, lo2, hi2, v in found]
             i = j + 1
+    if len(at) < len(sb):
+        out += _missed(xa, xb, min_words, [x[:2] for x in out])
+    return out
+
+
+def _missed(a: list[int], b: list[int], width: int, held: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """Equal runs of at least width words at all places of b, for the stretches of width words that no one of held has."""
+    x = np.array([*a, -1, *b], dtype=np.int64)
+    name, n = np.unique(x, return_inverse=True)[1], 1
+    while n < width:  # name[i]: equal for equal x[i : i + n]
+        step = min(n, width - n)
+        name = np.unique(name[:-step] * len(x) + name[step:], return_inverse=True)[1]
+        n += step
+    mine, theirs = name[: len(a) - width + 1], name[len(a) + 1 :]
+    first = np.full(len(name), -1)
+    first[theirs[::-1]] = np.arange(len(theirs))[::-1]
+    places = first[mine]
+    free = places >= 0
+    for s, e in held:
+        free[s : max(e - width + 1, s)] = False
+    out, done = [], 0
+    for i in np.flatnonzero(free).tolist():
+        if i < done:
+            continue
+        p = int(places[i])
+        s, q, n = i, p, width
+        while s and q and a[s - 1] == b[q - 1]:
+            s, q, n = s - 1, q - 1, n + 1
+        while s + n < len(a) and q + n < len(b) and a[s + n] == b[q + n]:
+            n += 1
+        out.append((s, s + n, q, q + n, 1.0))
+        done = s + n - width + 1
     return out
 
 

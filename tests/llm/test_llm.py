@@ -441,6 +441,40 @@ def test_passages_find_near_copies(spark):
     assert found == {(2 * k + 1, 2 * k) for k in range(n)}
 
 
+def test_links_to_another_place_do_not_cut_regions():
+    import pandas as pd
+
+    rows = [(h, 2, 10, 60 + h, 120, 1, l2, l2 + 50 + h, l2 + 110) for h in range(4) for l2 in ((10, 900) if h != 2 else (900,))]
+    rows.append((5, 2, 300, 310, 400, 1, 300, 310, 400))  # one hash only
+    df = pd.DataFrame(rows, columns=["key", "doc", "l", "c", "r", "doc2", "l2", "c2", "r2"])
+    # hashes of the two places alternate
+    got = {tuple(x) for x in passages.regions(df, 3).itertuples(index=False)}
+    assert got == {(2, 10, 120, 1, 10, 120), (2, 10, 120, 1, 900, 1010)}
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        lo, lo2 = r.integers(0, 300, (2, 30))
+        hi, hi2 = lo + r.integers(0, 40, 30), lo2 + r.integers(0, 40, 30)
+        part = list(range(30))
+        for _ in range(30):
+            for i, j in itertools.combinations(range(30), 2):
+                if max(lo[i], lo[j]) <= min(hi[i], hi[j]) and max(lo2[i], lo2[j]) <= min(hi2[i], hi2[j]):
+                    part[i] = part[j] = min(part[i], part[j])
+        assert passages._meeting(lo, hi, lo2, hi2).tolist() == part
+
+
+def test_verified_passages_hold_every_equal_run():
+    for seed in range(150):
+        r = np.random.default_rng(seed)
+        stock = [[b"%d" % x for x in r.integers(0, 60, n)] for n in (7, 20, 52)]
+        a, b = ([w for _ in range(12) for w in (stock[r.integers(0, 3)][: r.integers(6, 60)] if r.integers(0, 4) else [b"%d" % x for x in r.integers(0, 60, 9)])] for _ in range(2))
+        spans = passages.verify_pair(a, b)
+        theirs = {tuple(b[k : k + 50]) for k in range(len(b) - 49)}
+        for k in range(len(a) - 49):
+            if tuple(a[k : k + 50]) in theirs:
+                assert any(s <= k and k + 50 <= e for s, e, *_ in spans), (seed, k)
+        assert all(e - s >= 50 and e2 - s2 >= 50 and (j < 1 or set(zip(*[a[s + x : e] for x in range(5)])) == set(zip(*[b[s2 + x : e2] for x in range(5)]))) for s, e, s2, e2, j in spans)
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
