@@ -66,6 +66,31 @@ def find(words: Column, part: Column) -> Column:
     return F.when((n > 0) & (F.size(words) >= n), F.aggregate(F.sequence(F.lit(0), F.size(words) - n), start, step, lambda a: a["found"])).otherwise(F.array().cast("array<int>"))
 
 
+def sub_sentence(words: Column, kept: Column, occs: Column | None = None) -> Column:
+    """STRUCT<words, occs> of the words at the places kept (in order): heads (syn) are the new places, 0 where the head is
+    gone; occurrences (arrays of places) that lost a word go."""
+    new = lambda k: (F.array_position(kept, k) - 1).cast("int")  # noqa: E731 - -1: gone
+
+    def moved(w: Column) -> Column:
+        return w.withField("syn", encode_syn(F.transform(parse_syn(w["syn"]), lambda p: F.struct(p["rel"].alias("rel"), new(p["head"]).alias("head")))))
+
+    left = F.transform(kept, lambda k: moved(F.get(words, k)))
+    whole = F.array().cast("array<array<int>>") if occs is None else F.transform(F.filter(occs, lambda o: F.forall(o, lambda k: F.array_contains(kept, k))), lambda o: F.transform(o, new))
+    return F.struct(left.alias("words"), whole.alias("occs"))
+
+
+def groups(size: Column, occs: Column) -> Column:
+    """ARRAY<ARRAY<INT>>: the places of each single word or unit; a unit (an array of places in occs) stands at its first
+    place, and takes what is at its others."""
+    each = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.array(k))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(g: Column, o: Column) -> Column:
+        rest = F.flatten(F.transform(F.filter(o, lambda i: i != F.array_min(o)), lambda i: F.get(g, i)))
+        return F.transform(g, lambda x, j: F.when(j == F.array_min(o), F.concat(x, rest)).when(F.array_contains(o, j), F.array().cast("array<int>")).otherwise(x))
+
+    return F.filter(F.aggregate(occs, each, joined), lambda x: F.size(x) > 0)
+
+
 _CODED = {"pipe": "|", "hash": "#", "underscore": "_", "space": " ", "tab": "\t", "newline": "\n", "slash": "/", "semicolon": ";", "lt": "<", "gt": ">"}
 ESCAPES = {
     "conll": ("underscore", "space", "hash", "tab", "newline"), "moses": ("pipe", "hash", "space", "tab", "newline"), "plaincorpus": ("space", "tab", "underscore", "hash", "newline"),

@@ -6,12 +6,15 @@ A word is STRUCT<surface, lemma, pos>; undefined attributes are NULL and group w
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ATTRS = ("surface", "lemma", "pos")
 WORD = "struct<surface:string,lemma:string,pos:string>"
 PUNCT = r"([.,;:!?()])"
 SPACES = r"[ \t\r\f\x0B]+"
@@ -26,22 +29,44 @@ def split_words(line: Column) -> Column:
 
 
 def tag(lemma: Column) -> Column:
-    """A deterministic part of speech for invented text."""
+    """A deterministic part of speech for invented text; a punctuation mark is a word of its own."""
+    ends = lambda *xs: reduce(lambda a, b: a | b, [lemma.endswith(x) for x in xs])
     return (
-        F.when(lemma.rlike(r"^[.,;:!?()]+$"), "PCT").when(lemma.isin(*DETERMINERS), "DT").when(lemma.isin(*PREPOSITIONS), "P").when(lemma.isin(*CONJUNCTIONS), "CC")
-        .when(lemma.rlike("(ing|ed)$"), "V").when(lemma.endswith("ly"), "R").when(lemma.rlike("(able|ous)$"), "A").otherwise("N")
+        F.when(lemma.isin(*".,;:!?()"), "PCT").when(lemma.isin(*DETERMINERS), "DT").when(lemma.isin(*PREPOSITIONS), "P").when(lemma.isin(*CONJUNCTIONS), "CC")
+        .when(ends("ing", "ed"), "V").when(ends("ly"), "R").when(ends("able", "ous"), "A").otherwise("N")
     )
 
 
-def word(surface: Column) -> Column:
-    low = F.lower(surface)
-    return F.struct(surface.alias("surface"), low.alias("lemma"), tag(low).alias("pos"))
+def word_list(surfaces: Column, attrs: tuple[str, ...] = ATTRS) -> Column:
+    """Words with the attributes asked for; nothing is made for the others."""
+    if attrs == ("surface",):
+        return F.transform(surfaces, lambda x: F.struct(x.alias("surface")))
+    if "pos" not in attrs:
+        return F.transform(surfaces, lambda x: F.struct(*[{"surface": x, "lemma": F.lower(x)}[a].alias(a) for a in attrs]))
+    both = F.transform(surfaces, lambda x: F.struct(x.alias("surface"), F.lower(x).alias("lemma")))
+    return F.transform(both, lambda w: F.struct(*[{"surface": w["surface"], "lemma": w["lemma"], "pos": tag(w["lemma"])}[a].alias(a) for a in attrs]))
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus_col: str = "lang") -> DataFrame:
-    """(doc_id, sent, corpus, words): every line of a text is a sentence; null texts have none."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(corpus_col).alias("corpus"), F.posexplode(F.split(text_col, "\n")).alias("sent", "line"))
-    return lines.select("doc_id", F.col("sent").cast("long").alias("sent"), "corpus", F.transform(split_words(F.col("line")), word).alias("words"))
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df over all cores if it has less than a split for each of them; larger inputs stay as their files are split."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    conf = spark._jsparkSession.sessionState().conf()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * conf.filesMaxPartitionBytes() else df.repartition(2 * cores, by)
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus_col: str = "lang", attrs: tuple[str, ...] = ATTRS) -> DataFrame:
+    """(doc_id, sent, corpus, words): every line of a text is a sentence; null texts have none.
+
+    The lines are split into words before they are exploded, so words is a column of its own: no expression over it makes
+    the words again.
+    """
+    lean = dealt(docs.select(F.col(id_col).alias("doc_id"), F.col(corpus_col).alias("corpus"), F.col(text_col).alias("text")).where("text is not null"), "doc_id")
+    lines = F.transform(F.split("text", "\n"), lambda line: word_list(split_words(line), attrs))
+    return lean.select("doc_id", "corpus", F.posexplode(lines).alias("sent", "words")).select("doc_id", F.col("sent").cast("long").alias("sent"), "corpus", "words")
 
 
 def tokens(sents: DataFrame) -> DataFrame:
@@ -60,10 +85,14 @@ def slices(words: Column, n: int) -> Column:
 
 def ngrams(sents: DataFrame, lo: int, hi: int, attr: str = "lemma", sep: str = " ", extra: tuple[str, ...] = ("corpus",)) -> DataFrame:
     """(extra..., n, ngram) of every run of lo..hi words; never across sentences, no shuffle."""
-    base = sents.select(*extra, attribute(F.col("words"), attr).alias("a"))
+    # exploded alone first: as a column of its own it isn't made again for every place
+    base = sents.select(*extra, F.explode(F.array(attribute(F.col("words"), attr))).alias("a"))
 
     def named(n: int) -> Column:
-        return F.transform(slices(F.col("a"), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, sep).alias("ngram")))
+        if n == 1:
+            return F.transform("a", lambda x: F.struct(F.lit(1).alias("n"), F.coalesce(x, F.lit("")).alias("ngram")))
+        starts = F.when(F.size("a") >= n, F.sequence(F.lit(1), F.size("a") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("a", k, n), sep).alias("ngram")))
 
     pieces = [named(n) for n in range(lo, hi + 1)]
     return base.select(*extra, F.explode(F.concat(*pieces) if len(pieces) > 1 else pieces[0]).alias("g")).select(*extra, "g.n", "g.ngram")
@@ -73,11 +102,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, corpus_col: str = "lang") -> DataFrame:
-    return sentences(table(spark, sf_dir, "documents"), corpus_col=corpus_col)
+def corpus(spark: SparkSession, sf_dir: str, corpus_col: str = "lang", attrs: tuple[str, ...] = ATTRS) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), corpus_col=corpus_col, attrs=attrs)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only in a local session."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="phrasemill-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/phrasemill-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/phrasemill-{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clean)
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may have ended before
+            return
+
+
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder, in a folder per value of `by`: made once, however often it is read."""
+    path = scratch(df.sparkSession, name)
+    w = df.write
+    (w.partitionBy(*by) if by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcasting if it is counted to have few rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

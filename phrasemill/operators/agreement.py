@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,8 +30,8 @@ def pairwise_weighted(r: DataFrame, distances: DataFrame) -> DataFrame:
     ni = r.select("item").distinct().agg(F.count("*").alias("ni"))
     cells = _pairs(r).groupBy("r1", "r2", "k1", "k2").agg(F.count("*").alias("n"))
     row, col = cells.groupBy("r1", "r2", "k1").agg(F.sum("n").alias("row")), cells.groupBy("r1", "r2", "k2").agg(F.sum("n").alias("col"))
-    seen = cells.join(F.broadcast(distances), ["k1", "k2"]).groupBy("r1", "r2").agg(F.sum(F.col("d") * F.col("n")).alias("od"), F.max("d").alias("dmax"))
-    chance = row.join(col, ["r1", "r2"]).join(F.broadcast(distances), ["k1", "k2"]).groupBy("r1", "r2").agg(F.sum(F.col("d") * F.col("row") * F.col("col")).alias("ed"))
+    seen = cells.join(distances, ["k1", "k2"]).groupBy("r1", "r2").agg(F.sum(F.col("d") * F.col("n")).alias("od"), F.max("d").alias("dmax"))
+    chance = row.join(col, ["r1", "r2"]).join(distances, ["k1", "k2"]).groupBy("r1", "r2").agg(F.sum(F.col("d") * F.col("row") * F.col("col")).alias("ed"))
     t = seen.join(chance, ["r1", "r2"]).crossJoin(F.broadcast(ni))
     dmax = F.greatest("dmax", F.lit(1e-7))
     return t.select("r1", "r2", (1 - (F.col("od") / (dmax * F.col("ni"))) / F.when(F.col("ed") > 0, F.col("ed") / (dmax * F.col("ni") * F.col("ni")))).alias("weighted_kappa"))
@@ -54,7 +54,7 @@ def multi(r: DataFrame) -> DataFrame:
 
 def multi_weighted(r: DataFrame, distances: DataFrame) -> DataFrame:
     """(alpha, alpha_kappa) under category distances."""
-    d = F.broadcast(distances)
+    d = distances
     sizes = r.agg(F.countDistinct("item").cast("double").alias("ni"), F.countDistinct("rater").cast("double").alias("nc"))
     nik = r.groupBy("item", "category").agg(F.count("*").alias("n"))
     a, b = nik.select("item", F.col("category").alias("k1"), F.col("n").alias("n1")), nik.select("item", F.col("category").alias("k2"), F.col("n").alias("n2"))
@@ -88,3 +88,13 @@ def confusion(r: DataFrame) -> DataFrame:
     n = _pairs(r).groupBy(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).agg(F.count("*").alias("n"))
     touch = n.select(F.explode(F.array_distinct(F.array("k1", "k2"))).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("t"))
     return n.join(touch, F.col("k1") == F.col("k"), "left").select("k1", "k2", "n", F.when(F.col("k1") == F.col("k2"), F.col("n") / F.col("t")).alias("agree"))
+
+
+def read_ratings(spark: SparkSession, path: str, sep: str = "\t", header: bool = False, item_col: bool = False) -> DataFrame:
+    """(item, rater, category) of a table with a column per rater; header: the first row has their names; item_col: the
+    first column names the item, else an item is a row."""
+    wide = spark.read.option("sep", sep).option("header", header).csv(path)
+    raters = wide.columns[1:] if item_col else wide.columns
+    item = F.col(f"`{wide.columns[0]}`") if item_col else F.monotonically_increasing_id().cast("string")
+    cells = F.array(*[F.struct(F.lit(r).alias("rater"), F.col(f"`{r}`").alias("category")) for r in raters])
+    return wide.select(item.alias("item"), cells.alias("c")).select("item", F.explode("c").alias("x")).select("item", "x.*").where("category is not null")

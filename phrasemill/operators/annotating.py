@@ -88,6 +88,32 @@ def gold_match(cands: DataFrame, gold: DataFrame, ignore_case: bool = True) -> D
     return cands.join(keys, fold(F.col("ngram")) == F.col("__g"), "left").withColumn("is_gold", F.col("__g").isNotNull()).drop("__g")
 
 
+def gold_match_words(cands: DataFrame, gold: DataFrame, ignore_pos: bool = False, ignore_case: bool = True, cross: bool = False) -> DataFrame:
+    """Candidates (cand_id, words) with `is_gold`: whether an entry of gold (words) has as many words and each attribute
+    that it defines. cross: a lemma may stand for a surface and the other way round. Candidates and entries meet by keys
+    of their words, so it is an equi-join; then the attributes are compared."""
+    fold = F.lower if ignore_case else (lambda c: c)
+    own = lambda w: F.coalesce(w["lemma"], w["surface"], F.lit(""))
+
+    def keys(words: Column) -> Column:
+        forms = [own] + ([lambda w: F.coalesce(w["surface"], w["lemma"], F.lit(""))] if cross else [])
+        all_of = lambda f: fold(F.array_join(F.transform(words, f), "\x1f"))
+        return F.array_distinct(F.array(*map(all_of, forms)))
+
+    def fits(g: Column, c: Column) -> Column:
+        same = lambda a, b: a.isNull() | F.coalesce(fold(a) == fold(b), F.lit(False))
+        form = same(g["lemma"], c["lemma"]) & same(g["surface"], c["surface"])
+        if cross:
+            either = lambda a: F.coalesce(fold(a) == fold(c["lemma"]), F.lit(False)) | F.coalesce(fold(a) == fold(c["surface"]), F.lit(False))
+            form = form | either(g["lemma"]) | either(g["surface"])
+        return form if ignore_pos else form & same(g["pos"], c["pos"])
+
+    entries = gold.select(F.col("words").alias("__g")).distinct().select("__g", F.explode(keys(F.col("__g"))).alias("__k"))
+    asked = cands.select("cand_id", "words", F.explode(keys(F.col("words"))).alias("__k"))
+    hit = asked.join(entries, "__k").where((F.size("words") == F.size("__g")) & F.forall(F.zip_with("__g", "words", fits), lambda x: x))
+    return cands.join(hit.select("cand_id").distinct().withColumn("is_gold", F.lit(True)), "cand_id", "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
+
+
 def precision_recall(cands: DataFrame, references: int | DataFrame) -> DataFrame:
     """Precision, recall and F1 of candidates with is_gold against a number of references (or a one-row table `refs`)."""
     t = cands.agg(F.count_if("is_gold").alias("tp"), F.count("*").alias("n"))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from phrasemill.functions.words import case_class
 
 
-def vocabulary(toks: DataFrame) -> DataFrame:
+def vocabulary(sents: DataFrame) -> DataFrame:
     """(form, low, cnt, cnt_start, pct, forms): counts of each form, of those at a sentence's start (first, or after
-    [:.?!;]), and the form's smoothed share among the forms with its lower-case letters."""
-    w = Window.partitionBy("doc_id", "sent").orderBy("i")
-    prev = F.lag("surface").over(w)
-    at_start = prev.isNull() | prev.rlike("^[:.?!;]")
-    seen = toks.select("surface", at_start.alias("start")).groupBy(F.col("surface").alias("form")).agg(F.count("*").alias("cnt"), F.count_if("start").alias("cnt_start"))
+    [:.?!;]), and the form's smoothed share among the forms with its lower-case letters. The word before lies beside a
+    word in its sentence, so only counts are shuffled."""
+    placed = F.transform("words", lambda w, k: F.struct(w["surface"].alias("form"), ((k == 0) | F.get("words", k - 1)["surface"].rlike("^[:.?!;]")).alias("start")))
+    seen = sents.select(F.explode(placed).alias("x")).groupBy("x.form").agg(F.count("*").alias("cnt"), F.count_if("x.start").alias("cnt_start"))
     low = Window.partitionBy("low")
     seen = seen.withColumn("low", F.lower("form")).withColumn("free", F.col("cnt") - F.col("cnt_start") + 1)
     return seen.withColumn("pct", F.col("free") / F.sum("free").over(low)).withColumn("forms", F.count("*").over(low)).drop("free")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions import measures, words
-from phrasemill.model import attribute, ngrams
+from phrasemill.model import attribute, ngrams, small, stored
 
 
 def ngram_counts(sents: DataFrame, lo: int, hi: int, attr: str = "lemma", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -18,13 +18,17 @@ def corpus_sizes(sents: DataFrame) -> DataFrame:
 
 
 def bigram_table(sents: DataFrame, attr: str = "lemma") -> DataFrame:
-    """(w1, w2, o, c1, c2, size) of neighbouring words. Counts of bigrams and of words come from one scan each."""
-    a = sents.select(attribute(F.col("words"), attr).alias("a"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("a") - 1), lambda k: F.struct(F.element_at("a", k).alias("w1"), F.element_at("a", k + 1).alias("w2")))
-    grams = a.where(F.size("a") > 1).select(F.explode(pair).alias("g")).groupBy("g.w1", "g.w2").agg(F.count("*").alias("o"))
-    ones = a.select(F.explode("a").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    size = a.agg(F.sum(F.size("a")).cast("long").alias("size"))
-    first, second = ones.select(F.col("w").alias("w1"), F.col("c").alias("c1")), ones.select(F.col("w").alias("w2"), F.col("c").alias("c2"))
+    """(w1, w2, o, c1, c2, size) of neighbouring words. Words and pairs are counted in one pass over the text and one
+    shuffle; the counts are stored, as pairs are looked up in those of words twice."""
+    a = sents.select(F.explode(F.array(attribute(F.col("words"), attr))).alias("a"))
+    none = F.lit(None).cast("string")
+    both = F.transform("a", lambda x, k: F.array(F.struct(F.lit(1).alias("n"), x.alias("w1"), none.alias("w2")), F.struct(F.lit(2).alias("n"), x.alias("w1"), F.get("a", k + 1).alias("w2"))))
+    last = lambda both: F.slice(both, F.lit(1), F.size(both) - 1)  # noqa: E731 - the last word has no pair
+    rows = a.where(F.size("a") > 0).select(F.explode(last(F.flatten(both))).alias("g")).select("g.*")
+    counts = stored(rows.groupBy("n", "w1", "w2").agg(F.count("*").alias("o")), "words-and-pairs", "n")
+    ones, grams = counts.where("n = 1"), counts.where("n = 2").select("w1", "w2", "o")
+    size = ones.agg(F.sum("o").cast("long").alias("size"))
+    first, second = ones.select("w1", F.col("o").alias("c1")), ones.select(F.col("w1").alias("w2"), F.col("o").alias("c2"))
     return grams.join(first, "w1").join(second, "w2").crossJoin(F.broadcast(size))  # one row
 
 
@@ -39,6 +43,25 @@ def lookup(cands: DataFrame, counts: DataFrame, key: str = "ngram", out: str = "
     return cands.join(counts.select(key, F.col("cnt").alias("__c")), key, "left").withColumn(out, F.coalesce("__c", F.lit(0)).cast("long")).drop("__c")
 
 
+def lookup_all(cands: DataFrame, sents: DataFrame, attr: str = "lemma") -> DataFrame:
+    """Candidates (cand_id, words ARRAY<STRING>) with their joint count in a corpus, and those of their words and pairs:
+    (cand_id, cnt, word_cnts, pair_cnts). Counted are runs of the corpus of each length that a candidate has."""
+    lengths = sorted({1, 2, *[r["n"] for r in cands.select(F.size("words").alias("n")).distinct().collect() if r["n"] > 0]})  # a number per length
+    runs = lambda n: F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda k: F.slice("words", k, n))
+    kind_of = lambda kind, n: F.transform(runs(n), lambda g, k: F.struct(F.lit(kind).alias("kind"), k.alias("at"), F.array_join(g, " ").alias("ngram")))
+    kinds = [kind_of("w", 1), kind_of("p", 2)]
+    whole = F.array(F.struct(F.lit("c").alias("kind"), F.lit(0).alias("at"), F.array_join("words", " ").alias("ngram")))
+    asked = cands.select("cand_id", F.explode(F.concat(whole, *kinds)).alias("x")).select("cand_id", "x.*")
+    counts = None
+    for n in lengths:
+        one = ngrams(sents, n, n, attr, extra=())
+        counts = one if counts is None else counts.unionByName(one)
+    wanted = counts.join(asked.select("ngram").distinct(), "ngram", "left_semi").groupBy("ngram").agg(F.count("*").alias("cnt"))
+    got = lookup(asked, wanted)
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "cnt")))), lambda x: x["cnt"])
+    return got.groupBy("cand_id").agg(F.max(F.when(F.col("kind") == "c", F.col("cnt"))).alias("cnt"), of("w").alias("word_cnts"), of("p").alias("pair_cnts"))
+
+
 def dated_lookup(terms: DataFrame, cache: DataFrame, today: Column, max_days: int = -1) -> DataFrame:
     """(lang, term, freq): cached web counts, lower-cased; entries older than max_days (-1: never) count as missing."""
     fresh = cache if max_days < 0 else cache.where(F.datediff(today, "as_of") <= max_days)
@@ -52,47 +75,68 @@ def merge_caches(a: DataFrame, b: DataFrame, newest: bool = True) -> DataFrame:
     return a.unionByName(b).groupBy("lang", "term").agg(pick(F.struct("freq", "as_of"), order).alias("e")).select("lang", "term", "e.freq", "e.as_of")
 
 
-def candidates(matches: DataFrame, keep_surface: bool = False, ignore_pos: bool = False) -> DataFrame:
+def candidates(matches: DataFrame, keep_surface: bool = False, ignore_pos: bool = False, several: bool = True) -> DataFrame:
     """Candidates of matches (doc_id, sent, corpus, places, words): a word's surface is undefined where it has a lemma (or
-    its lemma with keep_surface), and its pos with ignore_pos. (base, corpus, form, base_freq, form_freq, first_source)."""
+    its lemma with keep_surface), and its pos with ignore_pos. several: whether the matches are of several patterns, which
+    may find the same places. (base, corpus, form, base_freq, form_freq, first_source)."""
     def form_of(w: Column) -> Column:
         kept = w["surface"] if keep_surface else F.coalesce(w["lemma"], w["surface"])
         return kept if ignore_pos else F.concat(kept, F.lit("/"), w["pos"])
 
-    once = matches.dropDuplicates(["doc_id", "sent", "places"])
+    # all matches of a sentence come from one row, so repeated ones are told apart there, if there can be any
+    once = matches.dropDuplicates(["doc_id", "sent", "places"]) if several else matches
     keyed = once.select("corpus", F.array_join(F.transform("words", form_of), " ").alias("base"), F.array_join(F.transform("words", lambda w: w["surface"]), " ").alias("form"), F.struct("doc_id", "sent", words.source_string(F.col("sent"), F.col("places")).alias("s")).alias("src"))
     forms = keyed.groupBy("corpus", "base", "form").agg(F.count("*").alias("form_freq"), F.min("src").alias("src"))
     totals = forms.groupBy("corpus", "base").agg(F.sum("form_freq").alias("base_freq"))
     return forms.join(totals, ["corpus", "base"]).select("base", "corpus", "form", "base_freq", "form_freq", F.concat_ws(":", F.col("src.doc_id").cast("string"), F.col("src.s")).alias("first_source"))
 
 
-def contrast(freqs: DataFrame, main: str, others: list[str], pooled: bool = False) -> DataFrame:
-    """Contrast measures of (ngram, source, freq): the main source against each other one, or all of them pooled."""
-    totals = freqs.groupBy("source").agg(F.sum("freq").alias("total"))
+def contrast(freqs: DataFrame, main: str, others: list[str] | None = None, pooled: bool = False) -> DataFrame:
+    """Contrast measures of (ngram, source, freq): the main source against each other one that is found (or those
+    named), or all of them pooled."""
+    other = F.col("source") != main if others is None else F.col("source").isin(*others)
     mine = freqs.where(F.col("source") == main).select("ngram", F.col("freq").alias("f"))
-    rest = freqs.where(F.col("source").isin(*others))
-    total = totals.where(F.col("source").isin(*others)).withColumnRenamed("source", "against")
+    rest = freqs.where(other)
+    total = rest.groupBy(F.col("source").alias("against")).agg(F.sum("freq").alias("total"))
     if pooled:
         rest = rest.groupBy("ngram").agg(F.sum("freq").alias("fc")).withColumn("against", F.lit("all"))
         total = total.agg(F.sum("total").alias("total")).withColumn("against", F.lit("all"))
     else:
         rest = rest.select("ngram", F.col("freq").alias("fc"), F.col("source").alias("against"))
-    pairs = mine.join(F.broadcast(total))  # a row per source
+    # the result has a row for each n-gram and source, seen there or not
+    pairs = mine.join(small(total, 10_000))
     full = pairs.join(rest, ["ngram", "against"], "left").withColumn("fc", F.coalesce("fc", F.lit(0)))
     f, fc = F.col("f").cast("double"), F.col("fc").cast("double")
     return full.select("ngram", "against", "f", "fc", measures.csmwe(f, fc, F.col("total")).alias("csmwe"), measures.simple_diff(f, fc).alias("simplediff"), measures.simple_csmwe(f, fc).alias("simplecsmwe"))
 
 
+def found(sents: DataFrame, part: list[str], attr: str = "lemma") -> DataFrame:
+    """(doc_id, sent, places): sentences that have the words of part as a run, and where, without overlaps."""
+    first = F.exists("words", lambda w: w[attr] == part[0]) if part else F.lit(False)
+    # only sentences with its first word, and the attribute as a column of its own
+    base = sents.where(first).select("doc_id", "sent", F.explode(F.array(attribute(F.col("words"), attr))).alias("a"))
+    return base.select("doc_id", "sent", words.find(F.col("a"), F.array(*map(F.lit, part))).alias("places")).where(F.size("places") > 0)
+
+
 def combine(freqs: DataFrame, sizes: DataFrame, main: str, web: list[str]) -> DataFrame:
     """(ngram, uniform, inverse, backoff) of (ngram, source, freq); sizes has (source, size), absent counts are 0."""
     n, s = sizes.count(), sizes.agg(F.sum("size").alias("s"))
-    joined = freqs.join(F.broadcast(sizes), "source").crossJoin(F.broadcast(s))
+    joined = freqs.join(small(sizes), "source").crossJoin(F.broadcast(s))
     is_web = F.col("source").isin(*web)
     main_f, main_size = F.sum(F.when(F.col("source") == main, F.col("freq")).otherwise(0)), sizes.where(F.col("source") == main).agg(F.max("size").alias("main_size"))
     agg = joined.groupBy("ngram").agg((F.sum("freq") / n).alias("uniform"), F.sum((F.col("s") - F.col("size")) / F.col("s") * F.col("freq")).alias("inverse"), main_f.alias("m"), (F.sum(F.when(is_web, F.col("freq")).otherwise(0)) / len(web)).alias("w"))
     return agg.crossJoin(F.broadcast(main_size)).select("ngram", "uniform", "inverse", F.when(F.col("m") < measures.backoff_threshold(F.col("main_size")), -F.col("w")).otherwise(F.col("m").cast("double")).alias("backoff"))
 
 
+def combined_sizes(sizes: DataFrame, web: list[str]) -> DataFrame:
+    """(combination, size) of (source, size): the sizes combined as the counts are, cut to whole numbers; that of `backoff`
+    is the mean of the web sources' sizes."""
+    s = sizes.agg(F.sum("size").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("source").isin(*web), F.col("size")).otherwise(0)).alias("w"), F.sum(F.col("size").cast("double") * F.col("size")).alias("q"))
+    each = {"uniform": F.col("s") / F.col("k"), "inverse": F.col("s") - F.col("q") / F.col("s"), "backoff": F.col("w") / len(web)}
+    pairs = F.array(*[F.struct(F.lit(n).alias("combination"), c.cast("long").alias("size")) for n, c in each.items()])
+    return s.select(F.explode(pairs).alias("x")).select("x.*")
+
+
 def variation_entropy(forms: DataFrame, top: int = 5) -> DataFrame:
     """Entropy of a candidate's surface forms (base, form, form_freq): of all, and of the `top` most frequent."""
     from pyspark.sql import Window

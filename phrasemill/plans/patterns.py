@@ -148,43 +148,56 @@ def letters(words: Column, pattern: Group) -> Column:
     return F.array_join(F.transform(words, lambda w: F.substring(F.lit(LETTERS), number(w) + 1, F.lit(1))), "")
 
 
-def spans(words: Column, pattern: Group, code: Column | None = None) -> Column:
-    """ARRAY<STRUCT<s, e>> of all full matches of a plain pattern, e exclusive, longest first for each start."""
+def _regexes(pattern: Group) -> tuple[str, str]:
+    """(regular expression of the pattern over letters, a class of the letters that any of its words can have)."""
     kinds = list(dict.fromkeys(_words(pattern)))
     if len(kinds) > 5:
         raise ValueError("more than five different words: use the matcher")
     size = 1 << len(kinds)
     classes = {w: "[" + "".join(LETTERS[m] for m in range(size) if m >> k & 1) + "]" for k, w in enumerate(kinds)}
+    return _code_regex(pattern, classes), "[" + "".join(LETTERS[1:size]) + "]"
+
+
+MARK = "\x01"
+
+
+def spans(words: Column, pattern: Group, code: Column | None = None, mode: str = "All") -> Column:
+    """ARRAY<STRUCT<s, e>> of the full matches of a plain pattern, e exclusive: all of them, longest first for each start,
+    or the Longest or the Shortest of each start.
+
+    One pass of a look-ahead marks the places where a match begins; only from there on are ends looked for. words and code
+    should be columns of their own, as they are used for every place.
+    """
+    regex, used = _regexes(pattern)
     code = letters(words, pattern) if code is None else code
-    regex = "^" + _code_regex(pattern, classes) + "$"
     lo, hi = _bounds(pattern)
-    used = "^[" + "".join(LETTERS[1:size]) + "]+"
+    lo = max(lo, 1)
+    none = F.array().cast("array<int>")
+    if pattern.anchor_start:
+        starts = F.when(code.rlike(f"^(?:{regex})"), F.array(F.lit(0))).otherwise(none)
+    else:
+        marked = F.regexp_replace(code, f"(?=(?:{regex})).", MARK)
+        starts = F.filter(F.transform(F.split(marked, ""), lambda c, k: F.when(c == MARK, k)), lambda k: k.isNotNull())
 
     def ends(start: Column) -> Column:
-        rest = F.substring(code, start + 1, F.size(words))
-        run = F.length(F.regexp_extract(rest, used, 0))
-        most = run if hi is None else F.least(run, F.lit(hi))
-        lengths = F.when(most >= max(lo, 1), F.sequence(most, F.lit(max(lo, 1)), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        hits = F.filter(lengths, lambda n: F.rlike(F.substring(rest, F.lit(1), n), F.lit(regex)))
+        if lo == hi:
+            hits = F.array(F.lit(lo))
+        else:
+            run = F.length(F.regexp_extract(F.substring(code, start + 1, F.length(code)), f"^{used}+", 0))
+            most = run if hi is None else F.least(run, F.lit(hi))
+            lengths = F.when(most >= lo, F.sequence(most, F.lit(lo), F.lit(-1))).otherwise(none)
+            hits = F.filter(lengths, lambda n: F.rlike(F.substring(code, start + 1, n), F.lit(f"^(?:{regex})$")))
+        if pattern.anchor_end:
+            hits = F.filter(hits, lambda n: start + n == F.length(code))
+        if mode != "All":
+            hits = F.slice(hits, F.lit(1), F.lit(1)) if mode == "Longest" else F.slice(F.reverse(hits), F.lit(1), F.lit(1))
         return F.transform(hits, lambda n: F.struct(start.alias("s"), (start + n).alias("e")))
 
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    out = F.flatten(F.transform(starts, ends))
-    if pattern.anchor_start:
-        out = F.filter(out, lambda x: x["s"] == 0)
-    return F.filter(out, lambda x: x["e"] == F.size(words)) if pattern.anchor_end else out
-
-
-def choose(found: Column, mode: str, overlapping: bool) -> Column:
-    """All, the Longest or the Shortest span of each start; without overlaps, from the left."""
-    if mode == "All":
-        if not overlapping:
-            raise ValueError("all matches overlap")
-        return found
-    better = (lambda x, y: y["e"] > x["e"]) if mode == "Longest" else (lambda x, y: y["e"] < x["e"])
-    best = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["s"] == x["s"]) & better(x, y)))
-    if overlapping:
-        return best
+    return F.flatten(F.transform(starts, ends))
+
+
+def apart(found: Column) -> Column:
+    """The spans, one per start, that don't overlap, from the left."""
     kind = "struct<kept:array<struct<s:int,e:int>>,free:int>"
     begin = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("kept"), F.lit(0).alias("free")).cast(kind)
 
@@ -192,19 +205,21 @@ def choose(found: Column, mode: str, overlapping: bool) -> Column:
         ok = x["s"] >= a["free"]
         return F.struct(F.when(ok, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"), F.when(ok, x["e"]).otherwise(a["free"]).alias("free")).cast(kind)
 
-    return F.aggregate(best, begin, step, lambda a: a["kept"])
+    return F.aggregate(found, begin, step, lambda a: a["kept"])
 
 
 def match(sents: DataFrame, patterns: list[Group], mode: str = "All", overlapping: bool = True, id_order: list[str] | None = None) -> DataFrame:
     """(doc_id, sent, corpus, pattern, places, words) of every match."""
+    if mode == "All" and not overlapping:
+        raise ValueError("all matches overlap")
     out = None
     for k, p in enumerate(patterns):
         if _plain(p) and not id_order and len(set(_words(p))) <= 5:
             # the letters, then the spans, each as a column of its own: inlined, they would be made anew for every start
-            coded = sents.select("doc_id", "sent", "corpus", "words", F.explode(F.array(letters(F.col("words"), p))).alias("code"))
-            spanned = coded.select("doc_id", "sent", "corpus", "words", F.explode(F.array(spans(F.col("words"), p, F.col("code")))).alias("all"))
-            found = spanned.select("doc_id", "sent", "corpus", "words", F.explode(choose(F.col("all"), mode, overlapping)).alias("m"))
-            one = found.select("doc_id", "sent", "corpus", F.lit(k).alias("pattern"), F.sequence("m.s", F.col("m.e") - 1).alias("places"), F.slice("words", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("words"))
+            coded = sents.select("doc_id", "sent", "corpus", "words", F.explode(F.array(letters(F.col("words"), p))).alias("code")).where(F.col("code").rlike(_regexes(p)[0]))
+            found = spans(F.col("words"), p, F.col("code"), mode)
+            spanned = coded.select("doc_id", "sent", "corpus", "words", F.explode(found if overlapping else apart(found)).alias("m"))
+            one = spanned.select("doc_id", "sent", "corpus", F.lit(k).alias("pattern"), F.sequence("m.s", F.col("m.e") - 1).alias("places"), F.slice("words", F.col("m.s") + 1, F.col("m.e") - F.col("m.s")).alias("words"))
         else:
             one = _walk(sents, p, k, mode, overlapping, id_order)
         out = one if out is None else out.unionByName(one)
@@ -309,8 +324,24 @@ def matches(pattern: Group, words: list[dict], mode: str = "All", overlapping: b
     return out
 
 
+def _needed(node) -> list[Word]:
+    """Words that every match has, by tests that need no other word."""
+    if isinstance(node, Word):
+        return [Word(tuple(x for x in node.attrs if not x[1].startswith("back:")), node.neg)]
+    if isinstance(node, Back) or node.either or not node.repeat[0]:
+        return []
+    return [w for x in node.items for w in _needed(x)]
+
+
+def _some(need: Word) -> Column:
+    return F.exists("words", lambda w: word_test(need, w))
+
+
 def _walk(sents: DataFrame, pattern: Group, number: int, mode: str, overlapping: bool, id_order: list[str] | None) -> DataFrame:
+    """Matches by the matcher in Python; only sentences that have every word that a match needs are sent there."""
     word = sents.schema["words"].dataType.elementType.simpleString()
+    for need in dict.fromkeys(w for w in _needed(pattern) if w.attrs or w.neg):
+        sents = sents.where(_some(need))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -323,14 +354,49 @@ def _walk(sents: DataFrame, pattern: Group, number: int, mode: str, overlapping:
     return sents.select("doc_id", "sent", "corpus", "words").mapInPandas(run, f"doc_id long, sent long, corpus string, pattern int, places array<int>, words array<{word}>")
 
 
-def grep(sents: DataFrame, patterns: list[Group]) -> DataFrame:
-    """Sentences with a match."""
-    return sents.join(match(sents, patterns).select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi")
+def grep(sents: DataFrame, patterns: list[Group], only_matching: bool = False, annotate: bool = False) -> DataFrame:
+    """Sentences with a match; only_matching: the matches themselves, as sentences; annotate: with `occs`, the places of
+    each match."""
+    found = match(sents, patterns)
+    if only_matching:
+        return found.select("doc_id", "sent", "corpus", "words", "places")
+    hits = found.groupBy("doc_id", "sent").agg(*([F.array_sort(F.collect_set("places")).alias("occs")] if annotate else []), F.count("*").alias("hits"))
+    return sents.join(hits, ["doc_id", "sent"])
 
 
 def whole(cands: DataFrame, patterns: list[Group]) -> DataFrame:
-    """Entities (words) that a pattern matches from the first to the last word; the first such pattern and what it keeps."""
-    anchored = [replace(p, anchor_start=True, anchor_end=True) for p in patterns]
-    found = match(cands, anchored, "Longest")
-    first = found.groupBy("doc_id", "sent").agg(F.min_by(F.struct("pattern", "places", "words"), "pattern").alias("m"))
-    return first.select("doc_id", "sent", "m.pattern", "m.places", "m.words")
+    """Entities (words, any other columns) that a pattern matches from the first to the last word: `pattern`, the number of
+    the first such, and `matched`, the words that it keeps. Plain patterns are tested in the row."""
+    if all(_plain(p) and len(set(_words(p))) <= 5 for p in patterns):
+        first = F.coalesce(*[F.when(letters(F.col("words"), p).rlike(f"^(?:{_regexes(p)[0]})$"), k) for k, p in enumerate(patterns)])
+        return cands.withColumn("pattern", first).where("pattern is not null").withColumn("matched", F.col("words"))
+    from phrasemill.model import stored
+
+    keyed = stored(cands.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("sent", F.lit(0).cast("long")).withColumn("corpus", F.lit("")), "entities")
+    found = match(keyed, [replace(p, anchor_start=True, anchor_end=True) for p in patterns], "Longest")
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("pattern", F.col("words").alias("matched")), "pattern").alias("m"))
+    return keyed.join(first, "doc_id").select(*[F.col(f"`{c}`") for c in cands.columns], "m.pattern", "m.matched")
+
+
+def to_xml(patterns: list[Group]) -> str:
+    """The document that parse() reads as these patterns."""
+
+    def build(node, into: ET.Element) -> None:
+        if isinstance(node, Back):
+            ET.SubElement(into, "backpat", id=node.name)
+        elif isinstance(node, Word):
+            e = ET.SubElement(into, "w", {**dict(node.attrs), **({"id": node.name} if node.name else {}), **({"syndep": node.syndep} if node.syndep else {})})
+            for n in node.neg:
+                ET.SubElement(e, "neg", dict(n))
+        else:
+            lo, hi = node.repeat
+            attrs = {"repeat": "{%d,%s}" % (lo, "" if hi is None else hi)} if node.repeat != (1, 1) else {}
+            attrs |= {k: "true" for k in ("ignore", "anchor_start", "anchor_end") if getattr(node, k)} | ({"id": node.name} if node.name else {})
+            e = ET.SubElement(into, "either" if node.either else "pat", attrs)
+            for x in node.items:
+                build(x, e)
+
+    root = ET.Element("patterns")
+    for p in patterns:
+        build(p, root)
+    return ET.tostring(root, encoding="unicode")
