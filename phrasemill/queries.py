@@ -14,7 +14,7 @@ from phrasemill import model
 from phrasemill.functions import measures, words
 from phrasemill.operators import agreement, annotating, casing, counting, filtering, localmaxs, numbering
 from phrasemill.plans import patterns
-from phrasemill.sources import export, text, xml
+from phrasemill.sources import convert, export, text, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,10 +28,11 @@ low AS (SELECT *, lower(surface) AS lemma FROM raw),
 tokens AS (SELECT *, CASE WHEN regexp_matches(lemma, '^[.,;:!?()]+$') THEN 'PCT' WHEN lemma IN {_IN(model.DETERMINERS)} THEN 'DT' WHEN lemma IN {_IN(model.PREPOSITIONS)} THEN 'P'
   WHEN lemma IN {_IN(model.CONJUNCTIONS)} THEN 'CC' WHEN regexp_matches(lemma, '(ing|ed)$') THEN 'V' WHEN suffix(lemma, 'ly') THEN 'R' WHEN regexp_matches(lemma, '(able|ous)$') THEN 'A' ELSE 'N' END AS pos FROM low)"""
 BIGRAMS = TOKENS + """,
-pairs AS (SELECT doc_id, corpus, source, sent, i, lemma AS w1, lead(lemma) OVER (PARTITION BY doc_id, sent ORDER BY i) AS w2 FROM tokens),
+zipped AS (SELECT doc_id, corpus, source, sent, unnest(list_zip(l, l[2:])) AS p FROM (SELECT doc_id, corpus, source, sent, list_transform(toks, lambda x: lower(x)) AS l FROM sents)),
+pairs AS (SELECT doc_id, corpus, source, sent, p[1] AS w1, p[2] AS w2 FROM zipped),
 bi AS (SELECT w1, w2, count(*) AS o FROM pairs WHERE w2 IS NOT NULL GROUP BY ALL),
-uni AS (SELECT lemma AS w, count(*) AS c FROM tokens GROUP BY ALL),
-n AS (SELECT count(*) AS size FROM tokens),
+uni AS (SELECT w1 AS w, count(*) AS c FROM pairs GROUP BY ALL),
+n AS (SELECT count(*) AS size FROM pairs),
 big AS (SELECT w1, w2, o, a.c AS c1, b.c AS c2, size FROM bi JOIN uni a ON w1 = a.w JOIN uni b ON w2 = b.w, n)"""
 ASSOC = BIGRAMS + """,
 cells AS (SELECT *, CAST(c1 AS DOUBLE) / size * (CAST(c2 AS DOUBLE) / size) * (size - 1) AS e, CAST(size - 1 AS DOUBLE) AS m,
@@ -53,6 +54,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _lemmas(spark: SparkSession, d: str, corpus_col: str = "lang") -> DataFrame:
+    return model.corpus(spark, d, corpus_col, ("lemma",))
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    return model.corpus(spark, d, attrs=("surface", "lemma"))
+
+
+def _surfaces(spark: SparkSession, d: str) -> DataFrame:
+    return model.corpus(spark, d, attrs=("surface",))
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -63,22 +76,22 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 @query("ngram_assoc_top", "WITH " + ASSOC + " SELECT w1, w2, o, c1, c2, round(mle, 9) AS mle, round(pmi, 6) AS pmi, round(t, 6) AS t, round(dice, 6) AS dice, round(ll, 4) AS ll FROM scored ORDER BY round(scored.t, 6) DESC, w1, w2 LIMIT 100")
 def ngram_assoc_top(spark: SparkSession, d: str) -> DataFrame:
     """Bigrams by t-score."""
-    a = counting.associated(model.corpus(spark, d))
+    a = counting.associated(_lemmas(spark, d))
     a = a.select("w1", "w2", "o", "c1", "c2", F.round("mle", 9).alias("mle"), F.round("pmi", 6).alias("pmi"), F.round("t", 6).alias("t"), F.round("dice", 6).alias("dice"), F.round("ll", 4).alias("ll"))
     return a.orderBy(F.desc("t"), "w1", "w2").limit(100)
 
 
-@query("assoc_all", "WITH " + ASSOC + " SELECT w1, w2, o, round(mle, 9) AS mle, round(pmi, 5) AS pmi, round(t, 5) AS t, round(dice, 5) AS dice, round(ll, 3) AS ll FROM scored WHERE o >= 2")
+@query("assoc_all", "WITH " + ASSOC + " SELECT w1, w2, o, round(mle, 9) AS mle, round(pmi, 5) AS pmi, round(t, 5) AS t, round(dice, 5) AS dice, round(ll, 3) AS ll FROM scored")
 def assoc_all(spark: SparkSession, d: str) -> DataFrame:
-    """F01-F07 for every bigram that comes twice."""
-    a = counting.associated(model.corpus(spark, d)).where("o >= 2")
+    """F01-F07 for every bigram."""
+    a = counting.associated(_lemmas(spark, d))
     return a.select("w1", "w2", "o", F.round("mle", 9).alias("mle"), F.round("pmi", 5).alias("pmi"), F.round("t", 5).alias("t"), F.round("dice", 5).alias("dice"), F.round("ll", 3).alias("ll"))
 
 
 @query("assoc_backoff_size", "WITH " + BIGRAMS + " SELECT w1, w2, CASE WHEN o = 1 THEN -o ELSE o END AS o, CASE WHEN o = 1 THEN size ELSE 1000000 END AS size FROM big")
 def assoc_backoff_size(spark: SparkSession, d: str) -> DataFrame:
     """counts of 1 play the part of backed-off (negative) ones."""
-    b = counting.bigram_table(model.corpus(spark, d)).withColumn("o", F.when(F.col("o") == 1, -F.col("o")).otherwise(F.col("o")))
+    b = counting.bigram_table(_lemmas(spark, d)).withColumn("o", F.when(F.col("o") == 1, -F.col("o")).otherwise(F.col("o")))
     return b.select("w1", "w2", "o", measures.backed_off_size(F.col("o"), F.array("c1", "c2"), F.col("size"), F.lit(1000000).cast("long")).alias("size"))
 
 
@@ -86,21 +99,25 @@ def assoc_backoff_size(spark: SparkSession, d: str) -> DataFrame:
 SELECT n, ngram, count(*) AS cnt FROM (SELECT 1 AS n, a AS ngram FROM g UNION ALL SELECT 2, a || ' ' || b FROM g WHERE b IS NOT NULL UNION ALL SELECT 3, a || ' ' || b || ' ' || c FROM g WHERE c IS NOT NULL) GROUP BY ALL""")
 def ngram_counts_1_3(spark: SparkSession, d: str) -> DataFrame:
     """All n-grams of one to three words."""
-    return counting.ngram_counts(model.corpus(spark, d), 1, 3)
+    return counting.ngram_counts(_lemmas(spark, d), 1, 3)
+
 
+_BENCH_PAIRS = ", gs AS (SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '([.,;:!?()])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\n]+'), lambda x: x <> '') AS t FROM benchmark), bp AS (SELECT DISTINCT p[1] AS a, p[2] AS b FROM (SELECT unnest(list_zip(t, t[2:])) AS p FROM gs) WHERE p[2] IS NOT NULL)"
 
-@query("count_lookup", "WITH " + BIGRAMS + ", g AS (SELECT DISTINCT lower(text) AS x FROM benchmark), t AS (SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(x, '([.,;:!?()])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\n]+'), lambda y: y <> '')) AS ngram FROM g), k AS (SELECT DISTINCT ngram FROM t) SELECT ngram, coalesce(c, 0) AS cnt FROM k LEFT JOIN uni ON ngram = w")
+
+@query("count_lookup", "WITH " + BIGRAMS + _BENCH_PAIRS + " SELECT a || ' ' || b AS ngram, coalesce(o, 0) AS cnt, coalesce(x.c, 0) || ',' || coalesce(y.c, 0) AS word_cnts, CAST(coalesce(o, 0) AS VARCHAR) AS pair_cnts FROM bp LEFT JOIN bi ON w1 = a AND w2 = b LEFT JOIN uni x ON x.w = a LEFT JOIN uni y ON y.w = b")
 def count_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the benchmark with their counts in the corpus."""
-    counts = counting.ngram_counts(model.corpus(spark, d), 1, 1).select("ngram", "cnt")
-    cands = model.table(spark, d, "benchmark").select(F.explode(model.split_words(F.regexp_replace(F.lower("text"), "\n", " "))).alias("ngram")).distinct()
-    return counting.lookup(cands, counts)
+    """Pairs of words of the benchmark with their joint counts in the corpus, and those of their words and pairs."""
+    cands = _gold(spark, d).select(F.col("ngram").alias("cand_id"), F.split("ngram", " ").alias("words"))
+    t = counting.lookup_all(cands, _lemmas(spark, d))
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return t.select(F.col("cand_id").alias("ngram"), "cnt", shown("word_cnts"), shown("pair_cnts"))
 
 
 @query("corpus_size", "WITH " + TOKENS + " SELECT corpus, count(*) AS size FROM tokens GROUP BY ALL")
 def corpus_size(spark: SparkSession, d: str) -> DataFrame:
     """E03."""
-    return counting.corpus_sizes(model.corpus(spark, d)).where("size > 0")
+    return counting.corpus_sizes(_lemmas(spark, d)).where("size > 0")
 
 
 @query("wc", "WITH " + LINES + " SELECT corpus, count(*) AS sentences, CAST(sum(len(toks)) AS BIGINT) AS words, CAST(sum(coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0)) AS BIGINT) AS characters FROM sents GROUP BY ALL")
@@ -114,7 +131,7 @@ s AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source) AS share F
 SELECT source, freq, n, round(share, 8) AS share, round(entropy, 6) AS entropy FROM h WHERE k <= 50""")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of words per language, the first 50 bins."""
-    f = counting.ngram_counts(model.corpus(spark, d), 1, 1, extra=("corpus",)).select(F.col("corpus").alias("source"), F.col("cnt").alias("freq"))
+    f = counting.ngram_counts(_lemmas(spark, d), 1, 1, extra=("corpus",)).select(F.col("corpus").alias("source"), F.col("cnt").alias("freq"))
     return rounded(rounded(counting.histogram(f, 50), "share", digits=8), "entropy")
 
 
@@ -122,26 +139,26 @@ _FREQS = BIGRAMS.split(",\nbi AS")[0] + ", f AS (SELECT w1 || ' ' || w2 AS ngram
 
 
 def _source_freqs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = model.corpus(spark, d, "source")
+    s = _lemmas(spark, d, "source")
     return counting.ngram_counts(s, 2, 2, extra=("corpus",)).select("ngram", F.col("corpus").alias("source"), F.col("cnt").alias("freq")), counting.corpus_sizes(s).withColumnRenamed("corpus", "source")
 
 
-@query("contrast_measures", "WITH " + _FREQS + """, tot AS (SELECT source AS against, CAST(sum(freq) AS BIGINT) AS total FROM f WHERE source IN ('src1', 'src2') GROUP BY ALL), m AS (SELECT ngram, CAST(freq AS DOUBLE) AS f FROM f WHERE source = 'src0'),
+@query("contrast_measures", "WITH " + _FREQS + """, tot AS (SELECT source AS against, CAST(sum(freq) AS BIGINT) AS total FROM f WHERE source <> 'src0' GROUP BY ALL), m AS (SELECT ngram, CAST(freq AS DOUBLE) AS f FROM f WHERE source = 'src0'),
 p AS (SELECT m.ngram, tot.against, m.f, CAST(coalesce(r.freq, 0) AS DOUBLE) AS fc, total FROM m CROSS JOIN tot LEFT JOIN f r ON r.ngram = m.ngram AND r.source = tot.against)
 SELECT ngram, against, f, fc, round(atan(log2(f + 1) * ((f + 1) / ((fc + 1) / total))), 8) AS csmwe, round((f + 1) / (fc + 1), 6) AS simplediff, round(log2(f + 1) * (f + 1) / (fc + 1), 6) AS simplecsmwe FROM p""")
 def contrast_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Bigrams of one source against two others."""
+    """Bigrams of one source against each other one."""
     f, _ = _source_freqs(spark, d)
-    return rounded(rounded(counting.contrast(f, "src0", ["src1", "src2"]), "csmwe", digits=8), "simplediff", "simplecsmwe")
+    return rounded(rounded(counting.contrast(f, "src0"), "csmwe", digits=8), "simplediff", "simplecsmwe")
 
 
-@query("contrast_pooled", "WITH " + _FREQS + """, tot AS (SELECT CAST(sum(freq) AS BIGINT) AS total FROM f WHERE source IN ('src1', 'src2')), m AS (SELECT ngram, CAST(freq AS DOUBLE) AS f FROM f WHERE source = 'src0'),
-r AS (SELECT ngram, sum(freq) AS freq FROM f WHERE source IN ('src1', 'src2') GROUP BY ALL), p AS (SELECT m.ngram, m.f, CAST(coalesce(r.freq, 0) AS DOUBLE) AS fc, total FROM m CROSS JOIN tot LEFT JOIN r ON r.ngram = m.ngram)
+@query("contrast_pooled", "WITH " + _FREQS + """, tot AS (SELECT CAST(sum(freq) AS BIGINT) AS total FROM f WHERE source <> 'src0'), m AS (SELECT ngram, CAST(freq AS DOUBLE) AS f FROM f WHERE source = 'src0'),
+r AS (SELECT ngram, sum(freq) AS freq FROM f WHERE source <> 'src0' GROUP BY ALL), p AS (SELECT m.ngram, m.f, CAST(coalesce(r.freq, 0) AS DOUBLE) AS fc, total FROM m CROSS JOIN tot LEFT JOIN r ON r.ngram = m.ngram)
 SELECT ngram, 'all' AS against, f, fc, round(atan(log2(f + 1) * ((f + 1) / ((fc + 1) / total))), 8) AS csmwe, round((f + 1) / (fc + 1), 6) AS simplediff, round(log2(f + 1) * (f + 1) / (fc + 1), 6) AS simplecsmwe FROM p""")
 def contrast_pooled(spark: SparkSession, d: str) -> DataFrame:
     """the other sources as one."""
     f, _ = _source_freqs(spark, d)
-    return rounded(rounded(counting.contrast(f, "src0", ["src1", "src2"], pooled=True), "csmwe", digits=8), "simplediff", "simplecsmwe")
+    return rounded(rounded(counting.contrast(f, "src0", pooled=True), "csmwe", digits=8), "simplediff", "simplecsmwe")
 
 
 @query("combine_freqs", "WITH " + _FREQS + """, z AS (SELECT source, count(*) AS size FROM tokens GROUP BY ALL), x AS (SELECT count(*) AS k, sum(size) AS s FROM z), mz AS (SELECT size AS ms FROM z WHERE source = 'src0'),
@@ -153,6 +170,13 @@ def combine_freqs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(counting.combine(f, sizes, "src0", ["src1", "src2"]), "uniform", "inverse")
 
 
+@query("combined_sizes", "WITH " + TOKENS + ", z AS (SELECT source, count(*) AS size FROM tokens GROUP BY ALL), x AS (SELECT count(*) AS k, sum(size) AS s, sum(CAST(size AS DOUBLE) * size) AS q, sum(CASE WHEN source IN ('src1', 'src2') THEN size ELSE 0 END) AS w FROM z) SELECT unnest(['uniform', 'inverse', 'backoff']) AS combination, unnest([CAST(trunc(s / k) AS BIGINT), CAST(trunc(s - q / s) AS BIGINT), CAST(trunc(w / 2) AS BIGINT)]) AS size FROM x")
+def combined_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """F16."""
+    sizes = counting.corpus_sizes(_lemmas(spark, d, "source")).withColumnRenamed("corpus", "source").where("size > 0")
+    return counting.combined_sizes(sizes, ["src1", "src2"])
+
+
 # words -------------------------------------------------------------------------------------------------------------
 
 _CLASS = "CASE WHEN NOT regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}') THEN '?' WHEN NOT regexp_matches({0}, '\\p{{Lu}}') THEN 'lowercase' WHEN NOT regexp_matches({0}, '\\p{{Ll}}') THEN 'UPPERCASE' WHEN regexp_matches({0}, '^\\p{{Lu}}\\p{{Ll}}[^\\p{{Lu}}]*$') THEN 'Firstupper' ELSE 'MiXeD' END"
@@ -161,14 +185,14 @@ _CLASS = "CASE WHEN NOT regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches(
 @query("case_class", "WITH " + TOKENS + " SELECT surface AS form, " + _CLASS.format("surface") + " AS class, count(*) AS n FROM tokens GROUP BY ALL")
 def case_class(spark: SparkSession, d: str) -> DataFrame:
     """B03."""
-    t = model.tokens(model.corpus(spark, d)).groupBy(F.col("surface").alias("form")).agg(F.count("*").alias("n"))
+    t = model.tokens(_surfaces(spark, d)).groupBy(F.col("surface").alias("form")).agg(F.count("*").alias("n"))
     return t.select("form", words.case_class(F.col("form")).alias("class"), "n")
 
 
 @query("lowercase_simple", "WITH " + TOKENS + " SELECT surface AS form, lower(surface) AS new_form, count(*) AS n FROM tokens GROUP BY ALL")
 def lowercase_simple(spark: SparkSession, d: str) -> DataFrame:
     """B06."""
-    t = model.tokens(model.corpus(spark, d)).groupBy(F.col("surface").alias("form")).agg(F.count("*").alias("n"))
+    t = model.tokens(_surfaces(spark, d)).groupBy(F.col("surface").alias("form")).agg(F.count("*").alias("n"))
     return casing.simple(t).select("form", "new_form", "n")
 
 
@@ -180,13 +204,13 @@ vocab AS (SELECT form, lower(form) AS low, cnt, cnt_start, CAST(cnt - cnt_start
 @query("vocabulary_stats", "WITH " + _VOCAB + " SELECT form, cnt, cnt_start, round(pct, 9) AS pct, forms FROM vocab")
 def vocabulary_stats(spark: SparkSession, d: str) -> DataFrame:
     """E11 G04."""
-    return rounded(casing.vocabulary(model.tokens(model.corpus(spark, d))), "pct", digits=9).select("form", "cnt", "cnt_start", "pct", "forms")
+    return rounded(casing.vocabulary(_surfaces(spark, d)), "pct", digits=9).select("form", "cnt", "cnt_start", "pct", "forms")
 
 
 @query("lowercase_aggressive", "WITH " + _VOCAB + " SELECT form, CASE WHEN " + _CLASS.format("form") + " NOT IN ('lowercase', '?') AND pct < 0.9 THEN low ELSE form END AS new_form FROM vocab")
 def lowercase_aggressive(spark: SparkSession, d: str) -> DataFrame:
     """B07 D09."""
-    return casing.aggressive(casing.vocabulary(model.tokens(model.corpus(spark, d)))).select("form", "new_form")
+    return casing.aggressive(casing.vocabulary(_surfaces(spark, d))).select("form", "new_form")
 
 
 @query("lowercase_complex", "WITH " + _VOCAB + """, ok AS (SELECT low, form, row_number() OVER (PARTITION BY low ORDER BY pct DESC, form) AS k FROM vocab WHERE pct >= CAST(0.9 AS DOUBLE) - CAST(0.15 AS DOUBLE) * forms),
@@ -195,7 +219,7 @@ p AS (SELECT *, 'start' AS place FROM b WHERE cnt_start > 0 UNION ALL SELECT *,
 SELECT form, place, CASE WHEN cls IN ('UPPERCASE', 'MiXeD') THEN best WHEN cls = 'Firstupper' THEN CASE WHEN place = 'start' AND CAST(cnt_start AS DOUBLE) / cnt >= 0.8 THEN low ELSE best END ELSE form END AS new_form FROM p""")
 def lowercase_complex(spark: SparkSession, d: str) -> DataFrame:
     """B08."""
-    return casing.complex_case(casing.vocabulary(model.tokens(model.corpus(spark, d))))
+    return casing.complex_case(casing.vocabulary(_surfaces(spark, d)))
 
 
 @query("simplify_pos", """WITH t AS (SELECT unnest(['NN|JJ', 'VBZ', 'JJR', 'WRB', 'PDT', 'CCS', 'PRP$', 'WP', 'IN', 'MD', 'CD', 'SENT', '$', ',', 'UH', 'XYZ', '``', 'POS', 'FW', 'CT']) AS tag) SELECT n_nationkey, n_name, tag,
@@ -228,12 +252,16 @@ def word_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("sub_sentence", "WITH " + TOKENS + " SELECT doc_id, sent, i AS old_i, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) - 1 AS new_i, lemma FROM tokens WHERE pos <> 'PCT'")
+@query("sub_sentence", "WITH " + TOKENS + """, k AS (SELECT *, pos <> 'PCT' AS kept, lag(pos <> 'PCT') OVER w AS before, count_if(pos <> 'PCT') OVER w AS upto FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i))
+SELECT doc_id, sent, CAST(upto - 1 AS BIGINT) AS new_i, lemma, 'dep:' || CASE WHEN before THEN upto - 1 ELSE 0 END AS syn FROM k WHERE kept""")
 def sub_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """Words without punctuation, with old and new places."""
-    kept = F.filter(F.transform("words", lambda w, k: F.struct(k.alias("old_i"), w["lemma"].alias("lemma"), w["pos"].alias("pos"))), lambda x: x["pos"] != "PCT")
-    s = model.corpus(spark, d).select("doc_id", "sent", F.posexplode(kept).alias("new_i", "x"))
-    return s.select("doc_id", "sent", F.col("x.old_i").cast("long").alias("old_i"), F.col("new_i").cast("long").alias("new_i"), "x.lemma")
+    """Sentences without punctuation, in which each word depends on the one before; heads are the new places."""
+    s = model.corpus(spark, d)
+    linked = F.transform("words", lambda w, k: w.withField("syn", F.concat(F.lit("dep:"), k.cast("string"))))
+    kept = F.filter(F.transform("words", lambda w, k: F.when(w["pos"] != "PCT", k)), lambda k: k.isNotNull())
+    left = s.select("doc_id", "sent", F.explode(F.array(F.struct(linked.alias("w"), kept.alias("k")))).alias("x"))
+    sub = left.select("doc_id", "sent", words.sub_sentence(F.col("x.w"), F.col("x.k"))["words"].alias("words"))
+    return sub.select("doc_id", "sent", F.posexplode("words").alias("new_i", "w")).select("doc_id", "sent", F.col("new_i").cast("long").alias("new_i"), "w.lemma", "w.syn")
 
 
 @query("syn_heads", "WITH " + TOKENS + ", s AS (SELECT *, 'dep:' || i || ';bad;alt:' || (i + 1) AS syn FROM tokens) SELECT doc_id, sent, i, 'dep' AS rel, i - 1 AS head FROM s UNION ALL SELECT doc_id, sent, i, 'alt', i FROM s")
@@ -287,7 +315,7 @@ _BASE = BIGRAMS.split(",\nbi AS")[0] + ", c AS (SELECT w1 || ' ' || w2 AS ngram,
 
 def _cands(spark: SparkSession, d: str) -> DataFrame:
     """(ngram, freqs MAP) of bigrams, with counts in English and in other documents."""
-    g = model.ngrams(model.corpus(spark, d), 2, 2).groupBy("ngram").agg(F.count_if(F.col("corpus") == "en").alias("en"), F.count_if(F.col("corpus") != "en").alias("other"))
+    g = model.ngrams(_lemmas(spark, d), 2, 2).groupBy("ngram").agg(F.count_if(F.col("corpus") == "en").alias("en"), F.count_if(F.col("corpus") != "en").alias("other"))
     return g.withColumn("freqs", F.create_map(F.lit("en"), "en", F.lit("other"), "other"))
 
 
@@ -326,25 +354,25 @@ def filter_feature(spark: SparkSession, d: str) -> DataFrame:
 @query("filter_length", "WITH " + LINES + " SELECT doc_id, sent, CAST(len(toks) AS BIGINT) AS n FROM sents WHERE len(toks) BETWEEN 3 AND 12")
 def filter_length(spark: SparkSession, d: str) -> DataFrame:
     """C04."""
-    return filtering.keep(model.corpus(spark, d), filtering.length_between(F.col("words"), 3, 12)).select("doc_id", "sent", F.size("words").cast("long").alias("n"))
+    return filtering.keep(_surfaces(spark, d), filtering.length_between(F.col("words"), 3, 12)).select("doc_id", "sent", F.size("words").cast("long").alias("n"))
 
 
 @query("sort_feature", "WITH " + BIGRAMS + " SELECT w1, w2, o, row_number() OVER (ORDER BY o DESC, w1, w2) AS rank FROM big")
 def sort_feature(spark: SparkSession, d: str) -> DataFrame:
     """All bigrams numbered by count, in range partitions."""
-    return filtering.sort(counting.bigram_table(model.corpus(spark, d)).select("w1", "w2", "o"), ["o"], ["w1", "w2"], descending=True)
+    return filtering.sort(counting.bigram_table(_lemmas(spark, d)).select("w1", "w2", "o"), ["o"], ["w1", "w2"], descending=True)
 
 
 @query("head_n", "WITH " + TOKENS + " SELECT doc_id, sent, i, surface FROM tokens ORDER BY doc_id, sent, i LIMIT 10")
 def head_n(spark: SparkSession, d: str) -> DataFrame:
     """H02."""
-    return filtering.head(model.tokens(model.corpus(spark, d)).select("doc_id", "sent", "i", "surface"), ["doc_id", "sent", "i"])
+    return filtering.head(model.tokens(_surfaces(spark, d)).select("doc_id", "sent", "i", "surface"), ["doc_id", "sent", "i"])
 
 
 @query("tail_n", "WITH " + TOKENS + " SELECT doc_id, sent, i, surface FROM (SELECT * FROM tokens ORDER BY doc_id DESC, sent DESC, i DESC LIMIT 10)")
 def tail_n(spark: SparkSession, d: str) -> DataFrame:
     """H03."""
-    return filtering.tail(model.tokens(model.corpus(spark, d)).select("doc_id", "sent", "i", "surface"), ["doc_id", "sent", "i"])
+    return filtering.tail(model.tokens(_surfaces(spark, d)).select("doc_id", "sent", "i", "surface"), ["doc_id", "sent", "i"])
 
 
 @query("uniq_merge", "WITH " + TOKENS + " SELECT lemma, pos, count(*) AS freq, max(length(surface)) AS longest, min(doc_id) AS first, string_agg(DISTINCT surface, ' ' ORDER BY surface) AS forms FROM tokens GROUP BY ALL")
@@ -366,7 +394,7 @@ def union_inputs(spark: SparkSession, d: str) -> DataFrame:
 @query("set_difference", "WITH " + TOKENS + " SELECT DISTINCT lemma, CASE WHEN lemma IN (SELECT lemma FROM tokens WHERE corpus <> 'en') THEN 'shared' ELSE 'own' END AS kind FROM tokens WHERE corpus = 'en'")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     """English words that other languages have, and that they don't."""
-    t = model.tokens(model.corpus(spark, d)).select("corpus", "lemma").distinct()
+    t = model.tokens(_both(spark, d)).select("corpus", "lemma").distinct()
     en, rest = t.where("corpus = 'en'").select("lemma"), t.where("corpus <> 'en'")
     return filtering.present_in(en, rest, ["lemma"]).withColumn("kind", F.lit("shared")).unionByName(filtering.present_in(en, rest, ["lemma"], absent=True).withColumn("kind", F.lit("own")))
 
@@ -374,7 +402,7 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 @query("index_range", "WITH " + BIGRAMS + ", r AS (SELECT w1, w2, o, row_number() OVER (ORDER BY w1, w2) - 1 AS k FROM big) SELECT w1, w2, k, CASE WHEN k BETWEEN 100 AND 199 THEN o END AS o FROM r")
 def index_range(spark: SparkSession, d: str) -> DataFrame:
     """H08."""
-    r = numbering.numbered(counting.bigram_table(model.corpus(spark, d)).select("w1", "w2", "o"), [F.col("w1").asc(), F.col("w2").asc()], "k").withColumn("k", F.col("k") - 1)
+    r = numbering.numbered(counting.bigram_table(_lemmas(spark, d)).select("w1", "w2", "o"), [F.col("w1").asc(), F.col("w2").asc()], "k").withColumn("k", F.col("k") - 1)
     return r.select("w1", "w2", "k", filtering.index_slice(r, F.col("k"), F.col("o"), 100, 199).alias("o"))
 
 
@@ -465,30 +493,71 @@ def pattern_anchored(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d, '<pat anchor_start="true"><w pos="DT"/></pat>').select("doc_id", "sent")
 
 
-@query("filter_pattern", "WITH " + BIGRAMS + ", k AS (SELECT lemma, any_value(pos) AS pos FROM tokens GROUP BY ALL) SELECT w1, w2 FROM big JOIN k a ON w1 = a.lemma JOIN k b ON w2 = b.lemma WHERE a.pos = 'A' AND b.pos = 'N'")
+@query("filter_pattern", "WITH " + BIGRAMS + ", k AS (SELECT lemma, any_value(pos) AS pos FROM tokens GROUP BY ALL) SELECT w1, w2, 0 AS pattern FROM big JOIN k a ON w1 = a.lemma JOIN k b ON w2 = b.lemma WHERE a.pos = 'A' AND b.pos = 'N' UNION ALL SELECT w1, w2, 1 FROM big JOIN k a ON w1 = a.lemma JOIN k b ON w2 = b.lemma WHERE a.pos = 'R'")
 def filter_pattern(spark: SparkSession, d: str) -> DataFrame:
-    """Bigrams that are an adjective and a noun as a whole."""
-    b = counting.bigram_table(model.corpus(spark, d)).select("w1", "w2")
+    """Bigrams that a pattern matches as a whole, with the first such pattern."""
+    b = counting.bigram_table(_lemmas(spark, d)).select("w1", "w2")
     make = lambda c: F.struct(c.alias("surface"), c.alias("lemma"), model.tag(c).alias("pos"))
     c = b.select("w1", "w2", F.array(make(F.col("w1")), make(F.col("w2"))).alias("words"))
-    p = patterns.parse('<pat anchor_start="true" anchor_end="true"><w pos="A"/><w pos="N"/></pat>')[0]
-    return c.where(F.size(patterns.spans(F.col("words"), p)) > 0).select("w1", "w2")
+    p = patterns.parse('<patterns><pat><w pos="A"/><w pos="N"/></pat><pat><w pos="R"/><w/></pat></patterns>')
+    return patterns.whole(c, p).select("w1", "w2", F.col("pattern").cast("int").alias("pattern"))
+
+
+def _ngrams_of(m: DataFrame) -> DataFrame:
+    return m.groupBy(F.array_join(F.transform("words", lambda w: w["lemma"]), " ").alias("ngram")).agg(F.count("*").alias("freq"))
+
+
+_NEXT = ", q AS (SELECT doc_id, sent, i, lemma, pos, lead(pos) OVER w AS p1, lead(lemma) OVER w AS l1, lead(pos, 2) OVER w AS p2, lead(lemma, 2) OVER w AS l2 FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i))"
+
+
+@query("pattern_neg_attribute", "WITH " + TOKENS + _NEXT + " SELECT lemma || ' ' || l1 AS ngram, count(*) AS freq FROM q WHERE pos = 'R' AND NOT starts_with(p1, 'N') GROUP BY ALL")
+def pattern_neg_attribute(spark: SparkSession, d: str) -> DataFrame:
+    """The older form of negation."""
+    return _ngrams_of(_found(spark, d, '<pat><w pos="R"/><w pos="N" neg="pos"/></pat>'))
+
+
+@query("pattern_backpat", "WITH " + TOKENS + ", q AS (SELECT lemma, pos, lead(pos) OVER w AS p1, lead(lemma) OVER w AS l1, lead(surface) OVER w AS s1, lead(pos, 2) OVER w AS p2, lead(lemma, 2) OVER w AS l2, surface, lead(surface, 2) OVER w AS s2 FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)) SELECT lemma || ' ' || l1 || ' ' || l2 AS ngram, count(*) AS freq FROM q WHERE pos = 'DT' AND p1 = 'P' AND s2 = surface GROUP BY ALL")
+def pattern_backpat(spark: SparkSession, d: str) -> DataFrame:
+    """C09h: what a named group matched comes again."""
+    return _ngrams_of(_found(spark, d, '<pat><pat id="x"><w pos="DT"/></pat><w pos="P"/><backpat id="x"/></pat>'))
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """Each word depends on the next one."""
+    return model.corpus(spark, d).withColumn("words", F.transform("words", lambda w, k: w.withField("syn", F.concat(F.lit("dep:"), (k + 2).cast("string")))))
+
+
+@query("pattern_syndep_forward", "WITH " + TOKENS + _NEXT + " SELECT lemma || ' ' || l1 AS ngram, count(*) AS freq FROM q WHERE pos = 'R' AND p1 = 'N' GROUP BY ALL")
+def pattern_syndep_forward(spark: SparkSession, d: str) -> DataFrame:
+    """C09k: a word that depends on a later one."""
+    return _ngrams_of(patterns.match(_linked(spark, d), patterns.parse('<pat><w pos="R" syndep="dep:n"/><w id="n" pos="N"/></pat>')))
+
+
+@query("pattern_syndep_backward", "WITH " + TOKENS + _NEXT + " SELECT lemma || ' ' || l1 AS ngram, count(*) AS freq FROM q WHERE pos = 'N' AND p1 = 'R' GROUP BY ALL")
+def pattern_syndep_backward(spark: SparkSession, d: str) -> DataFrame:
+    """C09j: a word that depends on an earlier one."""
+    s = model.corpus(spark, d).withColumn("words", F.transform("words", lambda w, k: w.withField("syn", F.concat(F.lit("dep:"), k.cast("string")))))
+    return _ngrams_of(patterns.match(s, patterns.parse('<pat><w id="n" pos="N"/><w pos="R" syndep="dep:n"/></pat>')))
 
 
-@query("grep_sentences", "WITH " + TOKENS + " SELECT doc_id, sent, count(*) AS hits FROM tokens WHERE pos = 'V' GROUP BY ALL")
+@query("grep_sentences", "WITH " + TOKENS + " SELECT doc_id, sent, count(*) AS hits, count(*) AS places FROM tokens WHERE pos = 'V' GROUP BY ALL")
 def grep_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences with a verb, and how many matches they have."""
-    s = model.corpus(spark, d)
-    p = patterns.parse('<pat><w pos="V"/></pat>')
-    hits = patterns.match(s, p).groupBy("doc_id", "sent").agg(F.count("*").alias("hits"))
-    return patterns.grep(s, p).select("doc_id", "sent").join(hits, ["doc_id", "sent"])
+    """Sentences with a verb, how many matches they have, and these as occurrences."""
+    g = patterns.grep(model.corpus(spark, d), patterns.parse('<pat><w pos="V"/></pat>'), annotate=True)
+    return g.select("doc_id", "sent", "hits", F.size("occs").cast("long").alias("places"))
+
+
+@query("grep_only_matching", "WITH " + TOKENS + " SELECT doc_id, sent, CAST(i AS BIGINT) AS i, lemma FROM tokens WHERE pos = 'V'")
+def grep_only_matching(spark: SparkSession, d: str) -> DataFrame:
+    """C07 --only-matching: the matches as sentences."""
+    g = patterns.grep(model.corpus(spark, d), patterns.parse('<pat><w pos="V"/></pat>'), only_matching=True)
+    return g.select("doc_id", "sent", F.col("places")[0].cast("long").alias("i"), F.col("words")[0]["lemma"].alias("lemma"))
 
 
 @query("ngram_find", "WITH " + BIGRAMS + " SELECT doc_id, sent, count(*) AS n FROM pairs WHERE w1 = 'of' AND w2 = 'the' GROUP BY ALL")
 def ngram_find(spark: SparkSession, d: str) -> DataFrame:
     """C12."""
-    at = words.find(model.attribute(F.col("words"), "lemma"), F.array(F.lit("of"), F.lit("the")))
-    return model.corpus(spark, d).select("doc_id", "sent", F.size(at).cast("long").alias("n")).where("n > 0")
+    return counting.found(_lemmas(spark, d), ["of", "the"]).select("doc_id", "sent", F.size("places").cast("long").alias("n"))
 
 
 @query("candidate_forms", "WITH " + TOKENS + """, q AS (SELECT doc_id, corpus, sent, i, surface, lemma, pos, lead(pos) OVER w AS p1, lead(lemma) OVER w AS l1, lead(surface) OVER w AS s1 FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)),
@@ -497,7 +566,7 @@ f AS (SELECT corpus, base, form, count(*) AS form_freq, min({'a': doc_id, 'b': s
 SELECT base, corpus, form, CAST(sum(form_freq) OVER (PARTITION BY corpus, base) AS BIGINT) AS base_freq, form_freq, src.a || ':' || src.c AS first_source FROM f""")
 def candidate_forms(spark: SparkSession, d: str) -> DataFrame:
     """Adjective-noun candidates with their surface forms."""
-    return counting.candidates(_found(spark, d, '<pat><w pos="A"/><w pos="N"/></pat>'))
+    return counting.candidates(several=False, matches=_found(spark, d, '<pat><w pos="A"/><w pos="N"/></pat>'))
 
 
 _FORMS = SQL["candidate_forms"].rsplit("\nSELECT base", 1)[0]
@@ -508,7 +577,7 @@ u AS (SELECT *, sum(CASE WHEN k <= 5 THEN n END) OVER (PARTITION BY base) AS tt
 SELECT base, count(*) AS variants, round(sum(-CAST(n AS DOUBLE) / t * ln(CAST(n AS DOUBLE) / t)), 6) + 0.0 AS entropy, round(sum(CASE WHEN k <= 5 THEN -CAST(n AS DOUBLE) / tt * ln(CAST(n AS DOUBLE) / tt) ELSE 0 END), 6) + 0.0 AS entropy_top FROM u GROUP BY base""")
 def variation_entropy(spark: SparkSession, d: str) -> DataFrame:
     """F18."""
-    forms = counting.candidates(_found(spark, d, '<pat><w pos="A"/><w pos="N"/></pat>')).groupBy("base", "form").agg(F.sum("form_freq").alias("form_freq"))
+    forms = counting.candidates(several=False, matches=_found(spark, d, '<pat><w pos="A"/><w pos="N"/></pat>')).groupBy("base", "form").agg(F.sum("form_freq").alias("form_freq"))
     e = counting.variation_entropy(forms)
     return e.select("base", "variants", (F.round("entropy", 6) + 0.0).alias("entropy"), (F.round("entropy_top", 6) + 0.0).alias("entropy_top"))
 
@@ -539,7 +608,7 @@ occ AS (SELECT doc_id, sent, cand_id, i, len(lemmas) AS n FROM st JOIN ul ON l[i
 @query("annotate_contiguous", _CONT + " SELECT doc_id, sent, cand_id, array_to_string(range(i, i + n), ',') AS places FROM occ")
 def annotate_contiguous(spark: SparkSession, d: str) -> DataFrame:
     """Units without gaps."""
-    o = annotating.contiguous(model.corpus(spark, d), _units(spark, d))
+    o = annotating.contiguous(_both(spark, d), _units(spark, d))
     return o.withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
 
 
@@ -554,7 +623,7 @@ UNION ALL SELECT doc_id, sent, cand_id, i, CASE WHEN l[i + 2] = lemmas[2] THEN C
 @query("annotate_gap1", _GAP + " SELECT doc_id, sent, cand_id, places FROM g WHERE places IS NOT NULL")
 def annotate_gap1(spark: SparkSession, d: str) -> DataFrame:
     """D04 with one gap."""
-    o = annotating.contiguous(model.corpus(spark, d), _units(spark, d), gaps=1)
+    o = annotating.contiguous(_both(spark, d), _units(spark, d), gaps=1)
     return o.withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
 
 
@@ -566,10 +635,27 @@ def annotate_filter(spark: SparkSession, d: str) -> DataFrame:
     return filtering.keep(a, filtering.length_between(F.col("occs"), 1)).select("doc_id", "sent", F.size("occs").cast("long").alias("n"))
 
 
+@query("filter_mwe_count", _CONT + " SELECT doc_id, sent, count(*) AS n FROM occ GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4")
+def filter_mwe_count(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with two to four occurrences."""
+    s = _both(spark, d)
+    a = annotating.with_occurrences(s, annotating.contiguous(s, _units(spark, d)))
+    return filtering.keep(a, filtering.length_between(F.col("occs"), 2, 4)).select("doc_id", "sent", F.size("occs").cast("long").alias("n"))
+
+
+@query("xwe_groups", _CONT + " , o AS (SELECT doc_id, sent, count(*) AS k FROM occ WHERE cand_id = 0 GROUP BY ALL) SELECT doc_id, sent, CAST(len(l) - k AS BIGINT) AS groups, k AS units FROM o JOIN lo USING (doc_id, sent)")
+def xwe_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Single words and units of one candidate, each as a group of places."""
+    s = _both(spark, d)
+    a = annotating.with_occurrences(s, annotating.contiguous(s, _units(spark, d).where("cand_id = 0")), only=True)
+    g = a.select("doc_id", "sent", words.groups(F.size("words"), F.transform("occs", lambda o: o["places"])).alias("g"))
+    return g.select("doc_id", "sent", F.size("g").cast("long").alias("groups"), F.size(F.filter("g", lambda x: F.size(x) > 1)).cast("long").alias("units"))
+
+
 @query("annotate_source", _CONT + " SELECT doc_id, sent, cand_id, array_to_string(range(i, i + n), ',') AS places FROM occ")
 def annotate_source(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences as sources, and annotation from them."""
-    s = model.corpus(spark, d)
+    s = _both(spark, d)
     o = annotating.contiguous(s, _units(spark, d))
     src = o.groupBy("cand_id", "doc_id", F.size("places").alias("n")).agg(F.concat_ws(";", F.collect_list(words.source_string(F.col("sent"), F.col("places")))).alias("sources"))
     return annotating.from_sources(s, src).withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
@@ -582,7 +668,7 @@ _BOTH = _GAP.replace("g AS (SELECT", "gg AS (SELECT", 1) + ", p AS (SELECT DISTI
 SELECT p_hit, p_all, r_hit, r_all, round(p_hit / p_all, 9) AS precision, round(r_hit / r_all, 9) AS recall, round(2 * (p_hit / p_all) * (r_hit / r_all) / (p_hit / p_all + r_hit / r_all), 9) AS f1 FROM a, b""")
 def measure_exact(spark: SparkSession, d: str) -> DataFrame:
     """Annotation with a gap against the contiguous part of it."""
-    p = annotating.contiguous(model.corpus(spark, d), _units(spark, d), gaps=1).distinct()
+    p = annotating.contiguous(_both(spark, d), _units(spark, d), gaps=1).distinct()
     r = p.where(F.element_at("places", -1) - F.element_at("places", 1) == F.size("places") - 1)
     return rounded(annotating.exact_match(p, r), "precision", "recall", "f1", digits=9)
 
@@ -592,13 +678,13 @@ a AS (SELECT count(*) AS p_all, count_if((doc_id, sent, l) IN (SELECT (doc_id, s
 SELECT p_hit, p_all, r_hit, r_all, round(p_hit / p_all, 9) AS precision, round(r_hit / r_all, 9) AS recall, round(2 * (p_hit / p_all) * (r_hit / r_all) / (p_hit / p_all + r_hit / r_all), 9) AS f1 FROM a, b""")
 def measure_links(spark: SparkSession, d: str) -> DataFrame:
     """E15."""
-    p = annotating.contiguous(model.corpus(spark, d), _units(spark, d), gaps=1).distinct()
+    p = annotating.contiguous(_both(spark, d), _units(spark, d), gaps=1).distinct()
     r = p.where(F.element_at("places", -1) - F.element_at("places", 1) == F.size("places") - 1)
     return rounded(annotating.link_based(p, r), "precision", "recall", "f1", digits=9)
 
 
 _GOLD = BIGRAMS + """, gs AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '([.,;:!?()])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\n]+'), lambda x: x <> '') AS t FROM benchmark), gold AS (SELECT DISTINCT unnest(list_transform(range(1, len(t)), lambda k: t[k] || ' ' || t[k + 1])) AS g FROM gs),
-cand AS (SELECT w1 || ' ' || w2 AS ngram, o FROM big WHERE o >= 3), ev AS (SELECT ngram, o, ngram IN (SELECT g FROM gold) AS is_gold FROM cand)"""
+cand AS (SELECT w1 || ' ' || w2 AS ngram, o FROM big), ev AS (SELECT ngram, o, ngram IN (SELECT g FROM gold) AS is_gold FROM cand)"""
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -607,7 +693,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    c = counting.bigram_table(model.corpus(spark, d)).where("o >= 3").select(F.concat_ws(" ", "w1", "w2").alias("ngram"), "o")
+    c = counting.bigram_table(_lemmas(spark, d)).select(F.concat_ws(" ", "w1", "w2").alias("ngram"), "o")
     return annotating.gold_match(c, _gold(spark, d))
 
 
@@ -634,7 +720,7 @@ def avg_precision(spark: SparkSession, d: str) -> DataFrame:
 @query("align_sentences", "WITH " + LINES + ", a AS (SELECT row_number() OVER (ORDER BY doc_id, sent) AS k, len(toks) AS na FROM sents WHERE corpus = 'en'), b AS (SELECT row_number() OVER (ORDER BY doc_id, sent) AS k, len(toks) AS nb FROM sents WHERE corpus = 'de') SELECT k, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb FROM a JOIN b USING (k)")
 def align_sentences(spark: SparkSession, d: str) -> DataFrame:
     """D07 G07."""
-    s = model.corpus(spark, d)
+    s = _surfaces(spark, d)
     x = annotating.aligned(s.where("corpus = 'en'"), s.where("corpus = 'de'"), ["doc_id", "sent"])
     return x.select("k", F.size("a_words").cast("long").alias("na"), F.size("b_words").cast("long").alias("nb"))
 
@@ -663,29 +749,33 @@ def web_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 # LocalMaxs -------------------------------------------------------------------------------------------------------------
 
-_LM = TOKENS + """, g3 AS (SELECT lemma AS a, lead(lemma) OVER w AS b, lead(lemma, 2) OVER w AS c, lead(lemma, 3) OVER w AS d FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)),
-k AS (SELECT n, ngram, count(*) AS cnt FROM (SELECT 1 AS n, [a] AS ngram FROM g3 UNION ALL SELECT 2, [a, b] FROM g3 WHERE b IS NOT NULL UNION ALL SELECT 3, [a, b, c] FROM g3 WHERE c IS NOT NULL UNION ALL SELECT 4, [a, b, c, d] FROM g3 WHERE d IS NOT NULL) GROUP BY ALL),
-tot AS (SELECT count(*) AS total FROM tokens),
-sp AS (SELECT n, ngram, cnt, unnest(range(1, n)) AS s FROM k WHERE n > 1),
-m AS (SELECT sp.n, sp.ngram, sp.cnt, avg(CAST(x.cnt AS DOUBLE) * y.cnt) AS m FROM sp JOIN k x ON x.ngram = sp.ngram[1:s] JOIN k y ON y.ngram = sp.ngram[s + 1:] GROUP BY ALL),
-gl AS (SELECT n, ngram, cnt, CAST(cnt AS DOUBLE) * cnt / m AS glue FROM m UNION ALL SELECT n, ngram, cnt, CAST(cnt AS DOUBLE) / total * cnt / total FROM k, tot WHERE n = 1),
-ends AS (SELECT ngram, glue, ngram[1:n - 1] AS sub FROM gl WHERE n > 1 UNION SELECT ngram, glue, ngram[2:] FROM gl WHERE n > 1),
-up AS (SELECT sub AS ngram, max(glue) AS g FROM ends GROUP BY ALL), dn AS (SELECT e.ngram, max(gl.glue) AS g FROM ends e JOIN gl ON gl.ngram = e.sub GROUP BY ALL),
-top AS (SELECT gl.n, gl.ngram, gl.cnt, gl.glue FROM gl LEFT JOIN up ON up.ngram = gl.ngram LEFT JOIN dn ON dn.ngram = gl.ngram WHERE gl.n BETWEEN 2 AND 3 AND gl.cnt >= 2 AND gl.glue >= coalesce(dn.g, 0) AND coalesce(up.g, 0) <= gl.glue)"""
+def _localmaxs_sql(lo: int, hi: int) -> str:
+    """Length after length, as an n-gram's prefix and suffix bring the counts of its beginnings and endings."""
+    places = ", ".join(f"lead(lemma, {k}) OVER w AS w{k}" for k in range(1, hi + 1))
+    join = lambda a, b: " || chr(31) || ".join(["lemma" if k == 0 else f"w{k}" for k in range(a, b)])
+    out = TOKENS + f", g AS (SELECT lemma, {places} FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)), l1 AS (SELECT lemma AS g, count(*) AS cnt, [count(*)] AS p, [count(*)] AS s, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tokens) * count(*) / (SELECT count(*) FROM tokens) AS glue FROM tokens GROUP BY lemma)"
+    for n in range(2, hi + 2):
+        out += f""", k{n} AS (SELECT {join(0, n)} AS g, any_value({join(0, n - 1)}) AS pre, any_value({join(1, n)}) AS suf, count(*) AS cnt FROM g WHERE w{n - 1} IS NOT NULL GROUP BY 1),
+l{n} AS (SELECT k.g, k.cnt, list_append(a.p, k.cnt) AS p, list_append(b.s, k.cnt) AS s, greatest(a.glue, b.glue) AS sub, k.pre, k.suf,
+  CAST(k.cnt AS DOUBLE) * k.cnt / (list_sum(list_transform(list_zip(a.p, list_reverse(b.s)), lambda x: CAST(x[1] AS DOUBLE) * x[2])) / {n - 1}) AS glue FROM k{n} k JOIN l{n - 1} a ON a.g = k.pre JOIN l{n - 1} b ON b.g = k.suf)"""
+    tops = [f"SELECT {n} AS n, replace(l.g, chr(31), ' ') AS ngram, l.cnt, l.glue FROM l{n} l LEFT JOIN (SELECT g, max(glue) AS sup FROM (SELECT pre AS g, glue FROM l{n + 1} UNION ALL SELECT suf, glue FROM l{n + 1}) GROUP BY g) u ON u.g = l.g WHERE l.cnt >= 2 AND l.glue >= l.sub AND coalesce(u.sup, 0) <= l.glue" for n in range(lo, hi + 1)]
+    return out + ", top AS (" + " UNION ALL ".join(tops) + ")"
+
 
+_LM = _localmaxs_sql(2, 8)
 
-@query("localmaxs_scp", "WITH " + _LM + " SELECT n, array_to_string(ngram, ' ') AS ngram, cnt, round(glue, 9) AS glue FROM top")
+
+@query("localmaxs_scp", "WITH " + _LM + " SELECT n, ngram, cnt, round(glue, 9) AS glue FROM top")
 def localmaxs_scp(spark: SparkSession, d: str) -> DataFrame:
-    """Local maxima of two and three words."""
-    return rounded(localmaxs.localmaxs(model.corpus(spark, d), 2, 3), "glue", digits=9)
+    """Local maxima of two to eight words."""
+    return rounded(localmaxs.localmaxs(_lemmas(spark, d)), "glue", digits=9)
 
 
-@query("localmaxs_sentences", "WITH " + _LM + " SELECT doc_id, sent, array_to_string(ngram, ' ') AS ngram, count(*) AS n FROM (SELECT doc_id, sent, [lemma, lead(lemma) OVER w] AS g FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i) UNION ALL SELECT doc_id, sent, [lemma, lead(lemma) OVER w, lead(lemma, 2) OVER w] FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)) o JOIN top ON o.g = top.ngram WHERE top.cnt >= 20 GROUP BY ALL")
+@query("localmaxs_sentences", "WITH " + _LM + ", runs AS (" + " UNION ALL ".join(f"SELECT doc_id, sent, lemma{''.join(f' || chr(32) || lead(lemma, {k}) OVER w' for k in range(1, n))} AS ngram FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY i)" for n in range(2, 9)) + ") SELECT doc_id, sent, ngram, count(*) AS n FROM runs SEMI JOIN top USING (ngram) GROUP BY ALL")
 def localmaxs_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Where the frequent ones stand."""
-    s = model.corpus(spark, d)
-    top = localmaxs.localmaxs(s, 2, 3).where("cnt >= 20")
-    return localmaxs.in_sentences(s, top, 2, 3).groupBy("doc_id", "sent", "ngram").agg(F.count("*").alias("n"))
+    """Where they stand."""
+    s = _lemmas(spark, d)
+    return localmaxs.in_sentences(s, localmaxs.localmaxs(s)).groupBy("doc_id", "sent", "ngram").agg(F.count("*").alias("n"))
 
 
 # agreement -------------------------------------------------------------------------------------------------------------
@@ -803,7 +893,7 @@ def pwac_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plaincorpus_roundtrip", "WITH " + TOKENS + " SELECT surface, count(*) AS n FROM tokens GROUP BY ALL")
 def plaincorpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A08 A29."""
+    """A08."""
     return _tally(text.read_plain(spark, _lines_to(text.write_plain(_full(spark, d)), "plain"))).groupBy("surface").agg(F.sum("n").alias("n"))
 
 
@@ -816,43 +906,98 @@ def tagged_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.explode("occs").alias("o")).groupBy(F.size("o").cast("long").alias("size")).agg(F.count("*").alias("n"))
 
 
-@query("xml_roundtrip", "WITH " + TOKENS + " " + _TALLY)
+def _xml_to(rows: DataFrame, root: str) -> str:
+    path = model.scratch(rows.sparkSession, root)
+    xml.write(rows, path, root)
+    return path
+
+
+@query("xml_roundtrip", "WITH " + TOKENS + " SELECT doc_id, surface, lemma, pos, count(*) AS n FROM tokens GROUP BY ALL")
 def xml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A01."""
-    return _tally(xml.read_corpus(spark, _lines_to(xml.write_corpus(_full(spark, d)), "xml")))
+    back = xml.read_corpus(spark, _xml_to(xml.write_corpus(_full(spark, d)), "corpus"))
+    return back.select("doc_id", F.explode("words").alias("w")).groupBy("doc_id", "w.surface", "w.lemma", "w.pos").agg(F.count("*").alias("n"))
 
 
-@query("plaincandidates_roundtrip", "WITH " + BIGRAMS + " SELECT w1, w2 FROM big WHERE o >= 3")
+@query("plaincandidates_roundtrip", "WITH " + BIGRAMS + " SELECT w1, w2 FROM big")
 def plaincandidates_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A11."""
-    b = counting.bigram_table(model.corpus(spark, d)).where("o >= 3")
+    b = counting.bigram_table(_lemmas(spark, d))
     make = lambda c: F.struct(F.col(c).alias("surface"), F.col(c).alias("lemma"))
     back = text.read_candidates(spark, _lines_to(text.write_candidates(b.select(F.array(make("w1"), make("w2")).alias("words"))), "cands"))
     return back.select(F.element_at("words", 1)["surface"].alias("w1"), F.element_at("words", 2)["surface"].alias("w2"))
 
 
-@query("xml_candidates_roundtrip", "WITH " + BIGRAMS + " SELECT w1, w2, o FROM big WHERE o >= 3")
+@query("xml_candidates_roundtrip", "WITH " + BIGRAMS + " SELECT w1, w2, o FROM big")
 def xml_candidates_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A02."""
-    b = counting.bigram_table(model.corpus(spark, d)).where("o >= 3")
+    b = counting.bigram_table(_lemmas(spark, d))
     make = lambda c: F.struct(F.col(c).alias("surface"), F.col(c).alias("lemma"), model.tag(F.col(c)).alias("pos"))
     c = b.select(F.xxhash64("w1", "w2").alias("cand_id"), F.array(make("w1"), make("w2")).alias("words"), F.create_map(F.lit("corpus"), F.col("o")).alias("freqs"), F.create_map(F.lit("size"), F.col("size").cast("string")).alias("features"))
-    back = xml.read_candidates(spark, _lines_to(xml.write_candidates(c), "cxml"))
+    back = xml.read_candidates(spark, _xml_to(xml.write_candidates(c), "candidates"))
     return back.select(F.element_at("words", 1)["lemma"].alias("w1"), F.element_at("words", 2)["lemma"].alias("w2"), F.col("freqs")["corpus"].alias("o"))
 
 
-_EXP = BIGRAMS + ", x AS (SELECT *, row_number() OVER (ORDER BY w1, w2) AS cand_id FROM big WHERE o >= 5)"
+@query("xml_dict_roundtrip", "WITH " + BIGRAMS + _BENCH_PAIRS + " SELECT a AS w1, b AS w2 FROM bp")
+def xml_dict_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A gold list written and read again."""
+    make = lambda c: F.struct(c.alias("surface"), c.alias("lemma"), F.lit("X").alias("pos"))
+    e = _gold(spark, d).select(F.xxhash64("ngram").alias("entry_id"), F.transform(F.split("ngram", " "), make).alias("words"))
+    back = xml.read_dict(spark, _xml_to(xml.write_dict(e), "dict"))
+    return back.select(F.element_at("words", 1)["lemma"].alias("w1"), F.element_at("words", 2)["surface"].alias("w2"))
+
+
+@query("patterns_roundtrip", "WITH " + _RUNS + " SELECT doc_id, sent, s, e FROM sp")
+def patterns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns written, read again and applied."""
+    path = model.scratch(spark, "patterns")
+    xml.write_patterns(patterns.parse(_VN), spark, path)
+    return _pattern_spans(patterns.match(model.corpus(spark, d), xml.read_patterns(spark, path)))
+
+
+@query("convert_formats", "WITH " + TOKENS + " " + _TALLY)
+def convert_formats(spark: SparkSession, d: str) -> DataFrame:
+    """One format to another and a third, found by their directives."""
+    a, b, c = (model.scratch(spark, x) for x in ("first", "second", "third"))
+    convert.write(_full(spark, d), a, "pwac", ("a note",))
+    convert.convert(spark, a, b, "moses")
+    convert.convert(spark, b, c, "conll")
+    return _tally(convert.read(spark, c))
+
+
+@query("csv_roundtrip", "WITH " + BIGRAMS + " SELECT w1, w2, o, c1 FROM big")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates as a table and back; columns have the types that their values allow."""
+    path = model.scratch(spark, "csv")
+    b = counting.bigram_table(_lemmas(spark, d)).select(F.xxhash64("w1", "w2").alias("cand_id"), F.concat_ws(" ", "w1", "w2").alias("ngram"), F.lit("x").alias("pos"), F.col("o").alias("corpus"), F.lit("").alias("occurs"), F.lit("").alias("sources"), "c1")
+    export.csv(b, ["corpus"], ["c1"]).repartition(1).sortWithinPartitions(F.col("value").startswith("id\t").desc()).select("value").write.text(path)
+    t = export.read_csv(spark, path)
+    kinds = export.types_of(t, ["corpus", "c1"])
+    whole = lambda n: F.col(n).cast({"integer": "long", "real": "double"}.get(kinds[n], "string"))
+    return t.select(F.split_part("ngram", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("w2"), whole("corpus").alias("o"), whole("c1").alias("c1"))
+
+
+@query("zip_roundtrip", "SELECT n_name AS value FROM nation")
+def zip_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A ZIP archive with one entry."""
+    rows = model.table(spark, d, "nation").select("n_nationkey", "n_name")
+    path = model.scratch(spark, "zip")
+    text.write_zip(rows.select(F.col("n_name").alias("value")), path)
+    return text.read_zip(spark, path).select("value")
+
+
+_EXP = BIGRAMS + ", x AS (SELECT *, row_number() OVER (ORDER BY w1, w2) AS cand_id FROM big)"
 _E2 = "replace(replace(replace(replace({0}, '$', '${{dollar}}'), '/', '${{slash}}'), '#', '${{hash}}'), ';', '${{semicolon}}')"
 
 
 def _numbered_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    b = counting.bigram_table(model.corpus(spark, d)).where("o >= 5")
+    b = counting.bigram_table(_lemmas(spark, d))
     return numbering.numbered(b, [F.col("w1").asc(), F.col("w2").asc()], "cand_id")
 
 
 @query("export_csv_lines", "WITH " + _EXP + " SELECT -1 AS ord, 'id' || chr(9) || 'ngram' || chr(9) || 'pos' || chr(9) || 'corpus' || chr(9) || 'occurs' || chr(9) || 'sources' || chr(9) || 'c1' AS value UNION ALL SELECT cand_id, concat_ws(chr(9), cand_id, replace(" + _E2.format("w1 || ' ' || w2") + ", ' ', '${space}'), 'x', o, '', '', c1) FROM x")
 def export_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A12 A21."""
+    """A12."""
     c = _numbered_bigrams(spark, d).select("cand_id", F.concat_ws(" ", "w1", "w2").alias("ngram"), F.lit("x").alias("pos"), F.col("o").alias("corpus"), F.lit("").alias("occurs"), F.lit("").alias("sources"), "c1")
     return export.csv(c, ["corpus"], ["c1"])
 
