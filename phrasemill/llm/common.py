@@ -2,51 +2,83 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 1000
 ROOT = str(Path(__file__).resolve().parents[2])
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
-    """Let Python workers import this package and keep Arrow batches small enough for long texts."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package, and keep Arrow batches small enough for long texts: at most BATCH_ROWS rows,
+    the same for every operator, so that no frame depends on which of them was called last."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only in a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="phrasemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What drop_written() hasn't deleted goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_at_end)
+    _made[path] = spark
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, so lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _at_end() -> None:
+    for path, spark in list(_made.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM may have ended before
+            return
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing holds any more, rather than when the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a write as soon as it is over; its result is a table, so they aren't read again."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, so lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with released(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,13 +90,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
 
 
 def drop_written(*frames: DataFrame) -> None:
     """Delete the files behind tables made by written(); only once nothing reads them any more."""
     for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            delete_path(df.sparkSession, f)
+        under = {x.rsplit("/", 1)[0].replace("file:///", "file:/") for x in df.inputFiles()}
+        for path in [p for p in _made if p.replace("file:///", "file:/") in under]:
+            delete_path(df.sparkSession, path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

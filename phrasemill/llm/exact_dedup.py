@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import release, sized, written
+from phrasemill.llm.common import sized, written
 
 BLOCK = 4096
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -74,7 +74,6 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    release(docs.sparkSession)
     return occ.select("rid", "doc_id", "n_cp", "th", "sha").join(found, "rid")
 
 
@@ -103,7 +102,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = ["doc_id", "n_cp", "th"]
     rows = exact_dedup(docs, id_col, text_col).groupBy(*key).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("n"))
     rows = written(rows.where("not stays or n > 1"), "decisions")
-    release(docs.sparkSession)
     keyed = docs.withColumns({"__id": F.col(id_col), "__n": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__t": F.xxhash64(text_col)})
 
     def same(other: DataFrame) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
-from phrasemill.llm.common import new_path, prepare, release, sized, written
+from phrasemill.llm.common import new_path, prepare, sized, written
 
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
@@ -263,7 +263,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(trusted, trusted.count()), "id", "left_semi").select("text")
     top = written(count(text, order), "kn-top")
     made = None if top.isEmpty() else store(estimate(top, order), order)
-    release(docs.sparkSession)
     return made
 
 
@@ -311,5 +310,4 @@ def _few_rows(df: DataFrame, most: int = 10_000) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the classifier keeps, with all columns of docs."""
     gone = written(score(docs, labels, id_col, text_col, lang_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "kn-rejected")
-    release(docs.sparkSession)
     return docs.join(sized(gone, gone.count()), docs[id_col] == F.col("__gone"), "left_anti").select(*docs.columns)

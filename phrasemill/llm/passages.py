@@ -5,18 +5,21 @@ compact windows (l, c, r): all passages that start in [l, c] and end in [c, r] h
 Only windows that hold a passage of `MIN_WORDS` words are made: places that equal the morphological opening of the values,
 with the nearest smaller values at both sides as their ends, all in numpy.
 
-Windows with the same hash and shingle form a group. Windows of a task are grouped first and send one row per group, so a
-passage in very many documents costs one row per task. Within a group, windows are told apart by what another hash sees
-around c; each is linked to the first of its kind as a stream in the order of key and kind, and the firsts to the group's
-first in a second one. Each holds one window, however large a group is; never all are linked with all. Links of two
-documents are joined as intervals across the hashes; where at least `ENOUGH` hashes overlap, the words of both regions
-are fetched and verified: a passage counts if it has `MIN_WORDS` words on both sides and the Jaccard similarity of its
-shingles is at least `SIMILAR`.
+Windows with the same hash and shingle have a key. Keys of a single document go. The others are told apart by what the next
+hash sees in the `AROUND` places before c, and in those behind it: a window is in two groups, so that one of them sees only
+the passage even where c is near the passage's edge. Each window is linked to the first of its groups, by (doc, c) over all
+rows, and these to the first of their key. Firsts are minima, combined before the shuffle, so a group may be of any size and
+the result doesn't depend on how rows are dealt; all pairs of a group are never made.
+
+Links of two documents are joined as intervals across the hashes; where at least `ENOUGH` hashes overlap, the words of both
+regions are fetched and verified: a passage counts if it has `MIN_WORDS` words on both sides and the Jaccard similarity of
+its shingles is at least `SIMILAR`. Passages of a document that mostly overlap are one region, and regions that are linked,
+also over others, are a class. So documents that resemble each other are in one class through the firsts that both are
+linked to, in whichever of the ten hashes and two groups that is; a test holds that against all pairs.
 
 Defined results: null counts as empty; texts shorter than a passage have none; null doc_ids take no part; rows that share
 a doc_id are treated as one document, of which identical passages are reported once; an empty table gives an empty
-table. Other columns are ignored. A link between two members of a group is found through their first ones; a pair of
-which neither resembles these isn't.
+table; repeats within one document are not reported. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
-from phrasemill.llm.common import prepare, release, sized, written
+from phrasemill.llm.common import components, drop_written, prepare, sized, written
 
-SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND, HELD = 5, 50, 0.8, 10, 2, 15, 1_500_000
+SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND = 5, 50, 0.8, 10, 2, 20
 AT_ONCE = 5  # hashes whose windows are on disk at once
+SPANS = 500  # regions of a document that are cut out of one copy of its text
+_TOP = np.uint32(0xFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _INK = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _MULT = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -125,12 +129,12 @@ def compact_windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = MIN_WORDS, only: range | None = None) -> dict[str, np.ndarray]:
-    """Compact windows of the texts under the hashes `only`, or all: hash, key, kind, row, l, c, r (places are words)."""
+    """Compact windows of the texts under the hashes `only`, or all: key, before, behind (groups), row, l, c, r (in words)."""
     only = range(hashes) if only is None else only
     words, n = word_ids(texts)
     least = min_words - SHINGLE + 1
     ends = np.cumsum(n)
-    cols = {k: [] for k in ("key", "kind", "row", "l", "c", "r")}
+    cols = {k: [] for k in ("key", "before", "behind", "row", "l", "c", "r")}
     fit = np.flatnonzero(n >= min_words)
     if not len(fit):
         return {k: np.zeros(0, np.int64) for k in cols}
@@ -151,74 +155,23 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
     full[dst] = own
     for h in only:
         left, c, r = compact_windows(values[h], least)
-        # what the next hash sees around c, inside the window
-        other = values[(h + 1) % hashes]
-        around = _slide(np.r_[np.zeros(AROUND, np.uint32), other], 2 * AROUND + 1, np.minimum, 0)[: size]
+        # what the next hash sees before and behind c, as far as the text goes
+        other = np.where(values[(h + 1) % hashes] == 0, _TOP, values[(h + 1) % hashes])
+        before = _slide(np.r_[np.full(AROUND, _TOP), other], AROUND + 1, np.minimum, int(_TOP))[:size][c]
+        behind = _slide(other, AROUND + 1, np.minimum, int(_TOP))[c]
         t = np.searchsorted(place, c, side="right") - 1
         off = place[t]
-        cols["key"].append(mixed(full[c] ^ _MULT[10 + h]))
-        cols["kind"].append(around[c].astype(np.int64))
+        key = (mixed(full[c] ^ _MULT[10 + h]) >> np.uint64(4)) << np.uint64(4) | np.uint64(h)
+        cols["key"].append(key.view(np.int64))
+        cols["before"].append(mixed(key + before.astype(np.uint64) * _MULT[30]).view(np.int64))
+        cols["behind"].append(mixed(key + behind.astype(np.uint64) * _MULT[31] + np.uint64(1)).view(np.int64))
         cols["row"].append(fit[t])
         for name, x in (("l", left), ("c", c), ("r", r)):
             cols[name].append((x - off).astype(np.int32))
-    out = {k: np.concatenate(x) for k, x in cols.items()}
-    out["key"] = ((out["key"] >> np.uint64(4)) << np.uint64(4) | np.repeat(np.array(only, dtype=np.uint64), [len(x) for x in cols["c"]])).view(np.int64)
-    return out
-
-
-FIELDS = ["key", "kind", "doc", "l", "c", "r", "doc2", "l2", "c2", "r2"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-SCHEMA = "key long, kind long, doc long, l int, c int, r int, doc2 long, l2 int, c2 int, r2 int"
-
-
-def _grouped(w: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
-    """Links of each window to the first of its (key, kind), and the firsts as windows."""
-    order = np.lexsort((w["c"], w["doc"], w["kind"], w["key"]))
-    w = {k: x[order] for k, x in w.items()}
-    new = np.r_[True, (w["key"][1:] != w["key"][:-1]) | (w["kind"][1:] != w["kind"][:-1])]
-    firsts = np.flatnonzero(new)
-    lead = firsts[np.cumsum(new) - 1]
-    return [_links(w, np.flatnonzero(~new), lead), {k: x[firsts] for k, x in w.items()}]
-
-
-def linked(parts: Iterator[dict[str, np.ndarray]], by: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Links of each window to the first with its values of `by`. Windows come in the order of `by`, doc and c; only one is
-    held from part to part. If by is (key, kind), also the firsts of keys that have several kinds."""
-    held: dict[str, np.ndarray] | None = None
-    sent = False  # whether held is among the firsts given out
-    for w in parts:
-        if not len(w["key"]):
-            continue
-        if held is not None:
-            w = {k: np.concatenate([held[k], w[k]]) for k in FIELDS[:6]}
-        new = np.r_[True, np.logical_or.reduce([w[k][1:] != w[k][:-1] for k in by])]
-        firsts = np.flatnonzero(new)
-        yield _links(w, np.flatnonzero(~new), firsts[np.cumsum(new) - 1])
-        if len(by) > 1:
-            key = w["key"][firsts]
-            same = key[1:] == key[:-1]
-            several = np.r_[False, same] | np.r_[same, False]
-            last = several[-1] or (sent and len(firsts) == 1)
-            several[0] &= not sent
-            yield {k: w[k][firsts[several]] for k in FIELDS[:6]}
-            sent = bool(last)
-        held = {k: w[k][firsts[-1:]] for k in FIELDS[:6]}
+    return {k: np.concatenate(x) for k, x in cols.items()}
 
 
-def _links(w: dict[str, np.ndarray], rows: np.ndarray, lead: np.ndarray) -> dict[str, np.ndarray]:
-    rows = rows[w["doc"][rows] != w["doc"][lead[rows]]]
-    to = lead[rows]
-    return {**{k: w[k][rows] for k in FIELDS[:6]}, "doc2": w["doc"][to], "l2": w["l"][to], "c2": w["c"][to], "r2": w["r"][to]}
-
-
-def _batch(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-    n = len(x["key"])
-    return pa.RecordBatch.from_arrays([pa.array(x[f], t) if f in x else pa.nulls(n, t) for f, t in zip(FIELDS, _TYPES, strict=True)], FIELDS)
-
-
-def _pieces(x: dict[str, np.ndarray], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(x["key"]), rows):
-        yield _batch({k: v[lo : lo + rows] for k, v in x.items()})
+FIELDS = ["key", "before", "behind", "doc", "l", "c", "r"]
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, hashes: int = HASHES) -> DataFrame:
@@ -226,68 +179,33 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     prepare(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch], only: range) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                for x in _grouped({k: np.concatenate([h[k] for h in held]) for k in FIELDS[:6]}):
-                    yield from _pieces(x)
-            held.clear()
-
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, texts in parts_of(b.column(1), 3_000_000):
                 w = windows_of(texts, hashes, min_words, only)
                 w["doc"] = ids[lo + w.pop("row")]
-                held.append(w)
-                n += len(w["key"])
-                if n > HELD:
-                    yield from flush()
-                    n = 0
-        yield from flush()
-
-    def merge(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-        made: list[pa.RecordBatch] = []  # links of a task's own windows
-
-        def windows() -> Iterator[dict[str, np.ndarray]]:
-            held: list[pa.RecordBatch] = []
-            n = 0
-
-            def taken() -> dict[str, np.ndarray]:
-                t = pa.Table.from_batches(held)
-                return {k: t.column(k).to_numpy() for k in FIELDS[:6]}
-
-            for b in batches:
-                mine = b.column("doc2").is_null()
-                made.append(b.filter(pc.invert(mine)))
-                held.append(b.filter(mine))
-                n += b.num_rows
-                if n > 100_000:
-                    yield taken()
-                    held.clear()
-                    n = 0
-            if held:
-                yield taken()
-
-        for x in linked(windows(), by):
-            yield from made
-            made.clear()
-            yield from _pieces(x)
-        yield from made
+                for at in range(0, len(w["key"]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(w[f][at : at + 100_000]) for f in FIELDS], FIELDS)
 
     lean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = None
+    window = F.struct("doc", "c", "l", "r")
     for at in range(0, hashes, AT_ONCE):
         only = range(at, min(at + AT_ONCE, hashes))
-        # windows of a key stay together; links already made go anywhere
-        spread = lean.mapInArrow(lambda b, only=only: make(b, only), SCHEMA).repartition("key", F.when(F.col("doc2").isNotNull(), F.col("doc")))
-        once = written(spread.sortWithinPartitions("key", "kind", "doc", "c").mapInArrow(lambda b: merge(b, ("key", "kind")), SCHEMA), "links")
-        del spread
-        release(docs.sparkSession)
+        w = written(lean.mapInArrow(lambda b, only=only: make(b, only), "key long, before long, behind long, doc long, l int, c int, r int"), "windows")
+        shared = w.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key")
+        live = written(w.join(shared, "key", "left_semi"), "live-windows")
+        drop_written(w)
+        sides = live.select("key", window.alias("w"), F.explode(F.array("before", "behind")).alias("g"))
+        firsts = written(sides.groupBy("g").agg(F.min("w").alias("f"), F.first("key").alias("key")), "firsts")  # a group has one key
+        tops = firsts.groupBy("key").agg(F.min("f").alias("t"))
+        near = sides.join(firsts.select("g", "f"), "g").select("key", "w", "f")
+        far = firsts.join(tops, "key").select("key", F.col("f").alias("w"), F.col("t").alias("f"))
+        both = near.unionByName(far).where("w.doc <> f.doc").select("key", "w.doc", "w.l", "w.c", "w.r", *[F.col(f"f.{x}").alias(f"{x}2") for x in ("doc", "l", "c", "r")])
+        once = written(both, "links")
+        drop_written(live, firsts)
         found = once if found is None else found.unionByName(once)
-    firsts = found.where("doc2 is null").repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(lambda b: merge(b, ("key",)), SCHEMA)
-    return found.where("doc2 is not null").unionByName(firsts)
+    return found
 
 
 def regions(df: pd.DataFrame, enough: int = ENOUGH) -> pd.DataFrame:
@@ -449,8 +367,14 @@ def _missed(a: list[int], b: list[int], width: int, held: list[tuple[int, int]])
 
 
 def _regions(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, lo, hi, words): the words of each wanted region as text; rows: at most so many regions."""
-    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    """(doc, lo, hi, words): the words of each wanted region as text; rows: at most so many regions.
+
+    A document of which many regions are wanted has them in lists of about SPANS, each with a copy of its text.
+    """
+    one = wanted.distinct()
+    parts = one.groupBy("doc").agg(F.ceil(F.count("*") / SPANS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("lo", "hi"), F.col("parts")).cast("int")
+    lists = one.join(parts, "doc").withColumn("part", part).groupBy("doc", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).drop("part")
     joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(sized(lists, rows), "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,15 +391,15 @@ def _regions(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_co
     return joined.select("doc", "spans", "text").mapInArrow(cut, "doc long, lo int, hi int, words binary").dropDuplicates(["doc", "lo", "hi"])
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, similarity: a passage (words from 0, end exclusive) and the
     one in a document with a smaller id that it nearly repeats."""
     prepare(docs.sparkSession)
-    cand = written(candidates(links(docs, id_col, text_col, min_words)).distinct(), "candidates")
-    release(docs.sparkSession)
+    found = links(docs, id_col, text_col, min_words)
+    cand = written(candidates(found).distinct(), "candidates")
+    drop_written(found)
     wanted = cand.select("doc", "lo", "hi").unionByName(cand.select(F.col("doc2").alias("doc"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))
     text = written(_regions(docs, wanted, 2 * cand.count(), id_col, text_col), "regions")
-    release(docs.sparkSession)
     own = cand.join(text.withColumnRenamed("words", "a"), ["doc", "lo", "hi"])
     both = own.join(text.select(F.col("doc").alias("doc2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("words").alias("b")), ["doc2", "lo2", "hi2"])
 
@@ -490,13 +414,64 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, pa.float64()), strict=True)], names)
 
-    return both.select("doc", "lo", "doc2", "lo2", "a", "b").mapInArrow(verify, "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double").distinct()
+    pairs = both.select("doc", "lo", "doc2", "lo2", "a", "b").mapInArrow(verify, "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double")
+    out = written(pairs.distinct(), "repeats")
+    drop_written(cand, text)
+    return out
+
+
+def region_starts(start: np.ndarray, end: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For spans sorted by document and start (new: the first of a document), the number of the region of each: a span
+    joins the one before it if they share at least half of the shorter."""
+    out = np.zeros(len(start), dtype=np.int64)
+    at = lo = hi = 0
+    for k, (s, e, n) in enumerate(zip(start.tolist(), end.tolist(), new.tolist(), strict=True)):
+        if n or not k or 2 * (min(hi, e) - s) < min(e - s, hi - lo):
+            at, lo, hi = k, s, e
+        else:
+            lo, hi = s, max(hi, e)
+        out[k] = at
+    return out
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """repeats(), with the class that a passage and the one it repeats belong to: class_id and class_start are the document
+    and the first word of the class's first region."""
+    pairs = repeats(docs, id_col, text_col, min_words, similar)
+    spans = pairs.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e")).unionByName(pairs.select(F.col("other_id").alias("d"), F.col("other_start").alias("s"), F.col("other_end").alias("e"))).distinct()
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None  # the last document: it may go on
+
+        def placed(df: pd.DataFrame) -> pd.DataFrame:
+            first = region_starts(df["s"].to_numpy(), df["e"].to_numpy(), np.r_[True, df["d"].to_numpy()[1:] != df["d"].to_numpy()[:-1]])
+            return df.assign(r=df["s"].to_numpy()[first])
+
+        for p in parts:
+            df = p if rest is None else pd.concat([rest, p], ignore_index=True)
+            tail = df["d"] == df["d"].iloc[-1] if len(df) else df["d"].isna()
+            rest = df[tail]
+            if (~tail).any():
+                yield placed(df[~tail])
+        if rest is not None and len(rest):
+            yield placed(rest)
+
+    nodes = spans.repartition("d").sortWithinPartitions("d", "s", "e").mapInPandas(place, "d long, s long, e long, r long")
+    nodes = written(nodes, "spans")
+    numbers = written(nodes.select("d", "r").distinct().withColumn("node", F.monotonically_increasing_id()), "span-regions")
+    known = nodes.join(numbers, ["d", "r"]).select("d", "s", "e", "node")
+    linked = pairs.join(known.select(F.col("d").alias("doc_id"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("node").alias("a")), ["doc_id", "start", "end"])
+    linked = written(linked.join(known.select(F.col("d").alias("other_id"), F.col("s").alias("other_start"), F.col("e").alias("other_end"), F.col("node").alias("b")), ["other_id", "other_start", "other_end"]), "linked")
+    comp = components(linked.select("a", "b"))
+    of = numbers.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = of.groupBy("component").agg(F.min(F.struct("d", "r")).alias("first"))
+    classes = of.join(first, "component").select(F.col("node").alias("a"), F.col("first.d").alias("class_id"), F.col("first.r").alias("class_start"))
+    return linked.join(classes, "a").select("doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity", "class_id", "class_start")
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that nearly repeat one of a document with a smaller id; a document left empty goes."""
-    found = written(passages(docs, id_col, text_col).select("doc_id", "start", "end").distinct(), "passages")
-    release(docs.sparkSession)
+    found = written(repeats(docs, id_col, text_col).select("doc_id", "start", "end").distinct(), "passages")
     spans = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     joined = docs.join(sized(spans, found.count()), docs[id_col] == F.col("__doc"), "left").drop("__doc")
     at = docs.columns.index(text_col)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import components, prepare, release, sized, written
+from phrasemill.llm.common import components, prepare, sized, written
 
 SHINGLE, BUDGET, SEED, CHUNK, FRONTIER = 4, 4, 42, 60_000, 1_000_000
 _BITS = np.array([[(b >> k) & 1 for k in range(8)] for b in range(256)], dtype=np.float32)
@@ -244,7 +244,7 @@ def fingerprint_links(fps: DataFrame, budget: int = BUDGET, chunk: int = CHUNK)
         if held:
             yield groups(pd.concat(held, ignore_index=True))
 
-    prepare(spark, 20_000)
+    prepare(spark)
     cols = ["k", "block", "c1", "c2"]
     return rows.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(solve, "a long, b long")
 
@@ -277,5 +277,4 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of docs; rows without an id stay."""
     gone = written(simhash_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    release(docs.sparkSession)
     return docs.join(sized(gone, gone.count()), docs[id_col] == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -155,7 +155,7 @@ def _matrix(v: pd.Series, dim: int) -> np.ndarray:
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE, centres: int = CENTRES, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products with other rows. is_query is over vec_id."""
     spark = df.sparkSession
-    prepare(spark, 4096)
+    prepare(spark)
     out = "query_id long, rank int, vec_id long, score long"
     rows = written(integers(df, id_col, vec_col, scale), "vectors")
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()

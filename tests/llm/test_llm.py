@@ -395,32 +395,45 @@ def test_passages_cover_every_long_repeat(spark):
     assert passages.passages(table(spark, []).limit(0)).count() == 0
 
 
-def test_links_of_a_very_large_group():
-    r = np.random.default_rng(3)
-    n = 1_300_000
-    docs = np.arange(n)
-    w = {"key": np.full(n, 4), "kind": r.integers(0, 20_000, n), "doc": docs, "l": docs * 0, "c": docs * 0 + 9, "r": docs * 0 + 60}
-    w = {k: np.r_[x, x[:2]] for k, x in w.items()}
-    w["key"][-2:] = 8, 12  # groups of one window
-    order = np.lexsort((w["c"], w["doc"], w["kind"], w["key"]))
-    w = {k: x[order] for k, x in w.items()}
-    cuts = [0, 1, 2, 3, *range(50_000, n, 70_001), n, n + 1, n + 2]
-    first: dict[int, int] = {}
-    for kind, doc in zip(w["kind"][:n].tolist(), w["doc"][:n].tolist(), strict=True):
-        first.setdefault(kind, doc)
-    out = list(passages.linked(({k: x[a:b] for k, x in w.items()} for a, b in itertools.pairwise(cuts)), ("key", "kind")))
-    pairs = np.concatenate([np.c_[x["doc"], x["doc2"]] for x in out if "doc2" in x])
-    assert len(pairs) == n - len(first)
-    lead = np.array([first[k] for k in range(20_000)])
-    kinds = np.empty(n, np.int64)
-    kinds[w["doc"][:n]] = w["kind"][:n]
-    assert (lead[kinds[pairs[:, 0]]] == pairs[:, 1]).all()
-    firsts = np.sort(np.concatenate([x["doc"] for x in out if "doc2" not in x]))
-    assert firsts.tolist() == sorted(first.values())  # each once, and none of the single windows
-    second = {k: np.full(len(firsts), w[k][0]) for k in ("key", "kind", "l", "c", "r")} | {"doc": firsts}
-    top = [x for a in (0, 7_000, 14_000) for x in [{k: v[a : a + 7_000] for k, v in second.items()}]]
-    links = list(passages.linked(iter(top), ("key",)))
-    assert sum(len(x["doc"]) for x in links) == len(firsts) - 1 and {d for x in links for d in x["doc2"].tolist()} == {0}
+def edited_copies(n: int, edits: int, seed: int = 8) -> list[str]:
+    """Documents with one passage of 120 words, of which each changes some, among foreign words."""
+    r = np.random.default_rng(seed)
+    base = [f"p{x}" for x in r.integers(0, 10**6, 120)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in r.choice(120, edits, replace=False):
+            w[at] = f"e{k}x{at}"
+        around = [f"a{x}" for x in r.integers(0, 10**6, 80)]
+        texts.append(" ".join([*around[:30], *w, *around[30:]]))
+    return texts
+
+
+@pytest.mark.parametrize("edits", [1, 4])
+def test_passages_lose_no_pair_and_do_not_depend_on_partitions(spark, edits):
+    texts = edited_copies(120, edits)
+    docs = table(spark, texts)
+    rows = sorted(map(tuple, passages.passages(docs.repartition(1)).collect()))
+    assert rows == sorted(map(tuple, passages.passages(docs.repartition(8)).collect()))
+    cls = {}
+    for doc, _, _, other, _, _, _, c, at in rows:
+        cls.setdefault(doc, set()).add((c, at))
+        cls.setdefault(other, set()).add((c, at))
+    words = [t.encode().split() for t in texts]
+    true = [(i, j) for i in range(120) for j in range(i) if passages.verify_pair(words[i], words[j])]
+    assert len(true) > 100 and sum(bool(cls.get(i, set()) & cls.get(j, set())) for i, j in true) >= 0.9 * len(true)
+
+
+def test_regions_of_spans():
+    start, end = np.array([0, 5, 60, 70, 0]), np.array([50, 55, 110, 130, 50])
+    assert passages.region_starts(start, end, np.array([True, False, False, False, True])).tolist() == [0, 0, 2, 2, 4]
+
+
+def test_passages_of_null_and_repeated_ids(spark):
+    p = prose(80, 5)
+    rows = [(None, p), (1, p), (1, p), (2, "x " + p)]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in got} == {(2, 1, 1)}
 
 
 def near_copies(n):
