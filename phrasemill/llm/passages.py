@@ -38,7 +38,7 @@ from phrasemill.llm.bpe import parts_of
 from phrasemill.llm.common import components, drop_written, prepare, sized, written
 
 SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND = 5, 50, 0.8, 10, 2, 20
-AT_ONCE = 5  # hashes whose windows are on disk at once
+AT_ONCE = 2  # hashes whose windows are on disk at once
 SPANS = 500  # regions of a document that are cut out of one copy of its text
 _TOP = np.uint32(0xFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -163,8 +163,8 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
         off = place[t]
         key = (mixed(full[c] ^ _MULT[10 + h]) >> np.uint64(4)) << np.uint64(4) | np.uint64(h)
         cols["key"].append(key.view(np.int64))
-        cols["before"].append(mixed(key + before.astype(np.uint64) * _MULT[30]).view(np.int64))
-        cols["behind"].append(mixed(key + behind.astype(np.uint64) * _MULT[31] + np.uint64(1)).view(np.int64))
+        cols["before"].append(before.view(np.int32))
+        cols["behind"].append(behind.view(np.int32))
         cols["row"].append(fit[t])
         for name, x in (("l", left), ("c", c), ("r", r)):
             cols[name].append((x - off).astype(np.int32))
@@ -192,14 +192,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     window = F.struct("doc", "c", "l", "r")
     for at in range(0, hashes, AT_ONCE):
         only = range(at, min(at + AT_ONCE, hashes))
-        w = written(lean.mapInArrow(lambda b, only=only: make(b, only), "key long, before long, behind long, doc long, l int, c int, r int"), "windows")
+        w = written(lean.mapInArrow(lambda b, only=only: make(b, only), "key long, before int, behind int, doc long, l int, c int, r int"), "windows")
         shared = w.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key")
         live = written(w.join(shared, "key", "left_semi"), "live-windows")
         drop_written(w)
-        sides = live.select("key", window.alias("w"), F.explode(F.array("before", "behind")).alias("g"))
-        firsts = written(sides.groupBy("g").agg(F.min("w").alias("f"), F.first("key").alias("key")), "firsts")  # a group has one key
+        sides = live.select("key", window.alias("w"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("x")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("x")))).alias("g")).select("key", "w", "g.side", "g.x")
+        firsts = written(sides.groupBy("key", "side", "x").agg(F.min("w").alias("f")), "firsts")
         tops = firsts.groupBy("key").agg(F.min("f").alias("t"))
-        near = sides.join(firsts.select("g", "f"), "g").select("key", "w", "f")
+        near = sides.join(firsts, ["key", "side", "x"]).select("key", "w", "f")
         far = firsts.join(tops, "key").select("key", F.col("f").alias("w"), F.col("t").alias("f"))
         both = near.unionByName(far).where("w.doc <> f.doc").select("key", "w.doc", "w.l", "w.c", "w.r", *[F.col(f"f.{x}").alias(f"{x}2") for x in ("doc", "l", "c", "r")])
         once = written(both, "links")
