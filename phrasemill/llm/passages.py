@@ -6,16 +6,16 @@ Only windows that hold a passage of `MIN_WORDS` words are made: places that equa
 with the nearest smaller values at both sides as their ends, all in numpy.
 
 Windows with the same hash and shingle have a key. Keys of a single document go. The others are told apart by what the next
-hash sees in the `AROUND` places before c, and in those behind it: a window is in two groups, so that one of them sees only
-the passage even where c is near the passage's edge. Each window is linked to the first of its groups, by (doc, c) over all
-rows, and these to the first of their key. Firsts are minima, combined before the shuffle, so a group may be of any size and
+hash sees in the `AROUND` places before c (even hashes) or behind it (odd ones): near a passage's edge, one half of the
+hashes still sees only the passage. Each window is linked to the first of its group, by (doc, c) over all rows, and these
+to the first of their key. Firsts are minima, combined before the shuffle, so a group may be of any size and
 the result doesn't depend on how rows are dealt; all pairs of a group are never made.
 
 Links of two documents are joined as intervals across the hashes; where at least `ENOUGH` hashes overlap, the words of both
 regions are fetched and verified: a passage counts if it has `MIN_WORDS` words on both sides and the Jaccard similarity of
 its shingles is at least `SIMILAR`. Passages of a document that mostly overlap are one region, and regions that are linked,
 also over others, are a class. So documents that resemble each other are in one class through the firsts that both are
-linked to, in whichever of the ten hashes and two groups that is; a test holds that against all pairs.
+linked to, in whichever of the ten hashes that is; a test holds that against all pairs.
 
 Defined results: null counts as empty; texts shorter than a passage have none; null doc_ids take no part; rows that share
 a doc_id are treated as one document, of which identical passages are reported once; an empty table gives an empty
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from phrasemill.llm.bpe import parts_of
 from phrasemill.llm.common import components, drop_written, prepare, sized, written
 
-SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND = 5, 50, 0.8, 10, 2, 20
-AT_ONCE = 2  # hashes whose windows are on disk at once
+SHINGLE, MIN_WORDS, SIMILAR, HASHES, ENOUGH, AROUND = 5, 50, 0.8, 10, 2, 12
+AT_ONCE = 3  # hashes whose windows are on disk at once
 SPANS = 500  # regions of a document that are cut out of one copy of its text
 _TOP = np.uint32(0xFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -129,12 +129,12 @@ def compact_windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = MIN_WORDS, only: range | None = None) -> dict[str, np.ndarray]:
-    """Compact windows of the texts under the hashes `only`, or all: key, before, behind (groups), row, l, c, r (in words)."""
+    """Compact windows of the texts under the hashes `only`, or all: key, side (its group), row, l, c, r (in words)."""
     only = range(hashes) if only is None else only
     words, n = word_ids(texts)
     least = min_words - SHINGLE + 1
     ends = np.cumsum(n)
-    cols = {k: [] for k in ("key", "before", "behind", "row", "l", "c", "r")}
+    cols = {k: [] for k in ("key", "side", "row", "l", "c", "r")}
     fit = np.flatnonzero(n >= min_words)
     if not len(fit):
         return {k: np.zeros(0, np.int64) for k in cols}
@@ -155,23 +155,22 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
     full[dst] = own
     for h in only:
         left, c, r = compact_windows(values[h], least)
-        # what the next hash sees before and behind c, as far as the text goes
+        # what the next hash sees before or behind c, as far as the text goes
         other = np.where(values[(h + 1) % hashes] == 0, _TOP, values[(h + 1) % hashes])
-        before = _slide(np.r_[np.full(AROUND, _TOP), other], AROUND + 1, np.minimum, int(_TOP))[:size][c]
-        behind = _slide(other, AROUND + 1, np.minimum, int(_TOP))[c]
+        lead = np.zeros(0, np.uint32) if h % 2 else np.full(AROUND, _TOP)
+        side = _slide(np.r_[lead, other], AROUND + 1, np.minimum, int(_TOP))[:size][c]
         t = np.searchsorted(place, c, side="right") - 1
         off = place[t]
         key = (mixed(full[c] ^ _MULT[10 + h]) >> np.uint64(4)) << np.uint64(4) | np.uint64(h)
         cols["key"].append(key.view(np.int64))
-        cols["before"].append(before.view(np.int32))
-        cols["behind"].append(behind.view(np.int32))
+        cols["side"].append(side.view(np.int32))
         cols["row"].append(fit[t])
         for name, x in (("l", left), ("c", c), ("r", r)):
             cols[name].append((x - off).astype(np.int32))
     return {k: np.concatenate(x) for k, x in cols.items()}
 
 
-FIELDS = ["key", "before", "behind", "doc", "l", "c", "r"]
+FIELDS = ["key", "side", "doc", "l", "c", "r"]
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, hashes: int = HASHES) -> DataFrame:
@@ -192,15 +191,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     window = F.struct("doc", "c", "l", "r")
     for at in range(0, hashes, AT_ONCE):
         only = range(at, min(at + AT_ONCE, hashes))
-        w = written(lean.mapInArrow(lambda b, only=only: make(b, only), "key long, before int, behind int, doc long, l int, c int, r int"), "windows")
+        w = written(lean.mapInArrow(lambda b, only=only: make(b, only), "key long, side int, doc long, l int, c int, r int"), "windows")
         shared = w.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key")
-        live = written(w.join(shared, "key", "left_semi"), "live-windows")
+        # the smaller side is hashed, so windows aren't sorted; a hot key's windows are split by AQE
+        live = written(w.join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "side", window.alias("w")), "live-windows")
         drop_written(w)
-        sides = live.select("key", window.alias("w"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("x")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("x")))).alias("g")).select("key", "w", "g.side", "g.x")
-        firsts = written(sides.groupBy("key", "side", "x").agg(F.min("w").alias("f")), "firsts")
+        firsts = written(live.groupBy("key", "side").agg(F.min("w").alias("f")), "firsts")
         tops = firsts.groupBy("key").agg(F.min("f").alias("t"))
-        near = sides.join(firsts, ["key", "side", "x"]).select("key", "w", "f")
-        far = firsts.join(tops, "key").select("key", F.col("f").alias("w"), F.col("t").alias("f"))
+        near = live.join(firsts.hint("shuffle_hash"), ["key", "side"]).select("key", "w", "f")
+        far = firsts.join(tops.hint("shuffle_hash"), "key").select("key", F.col("f").alias("w"), F.col("t").alias("f"))
         both = near.unionByName(far).where("w.doc <> f.doc").select("key", "w.doc", "w.l", "w.c", "w.r", *[F.col(f"f.{x}").alias(f"{x}2") for x in ("doc", "l", "c", "r")])
         once = written(both, "links")
         drop_written(live, firsts)
@@ -336,6 +335,15 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
     return out
 
 
+def verify_text(a: bytes, b: bytes, min_words: int = MIN_WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
+    """verify_pair of words joined by spaces; if b holds all of a, that is the passage."""
+    at = (b" " + b + b" ").find(b" " + a + b" ") if a else -1
+    if at < 0:
+        return verify_pair(a.split(), b.split(), min_words, similar)
+    n, p = a.count(b" ") + 1, b[:at].count(b" ")
+    return [(0, n, p, p + n, 1.0)] if n >= min_words else []
+
+
 def _missed(a: list[int], b: list[int], width: int, held: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """Equal runs of at least width words at all places of b, for the stretches of width words that no one of held has."""
     x = np.array([*a, -1, *b], dtype=np.int64)
@@ -409,7 +417,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             rows = []
             doc, lo, doc2, lo2 = (b.column(c).to_pylist() for c in ("doc", "lo", "doc2", "lo2"))
             for k in range(b.num_rows):
-                for s, e, s2, e2, j in verify_pair(b.column("a")[k].as_py().split(), b.column("b")[k].as_py().split(), min_words, similar):
+                for s, e, s2, e2, j in verify_text(b.column("a")[k].as_py(), b.column("b")[k].as_py(), min_words, similar):
                     rows.append((doc[k], lo[k] + s, lo[k] + e, doc2[k], lo2[k] + s2, lo2[k] + e2, j))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, pa.float64()), strict=True)], names)
