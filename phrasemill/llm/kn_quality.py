@@ -1,20 +1,26 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over UTF-8 bytes, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of words and of UTF-8 bytes, trained on trusted text.
 
-Bytes make n-gram keys exact integers in any language. Counts of the highest order are combined per task, then summed by
-key; lower orders count distinct left extensions; discounts come from counts of counts; contexts are aggregated and joined
-back by key, so the whole model is built by joins of tables sharded by hash. It is written to the shared folder in shards
-by the two bytes before the predicted one: every n-gram and context that a position may need is then in one shard (the
-orders that fit into tables of 256 and 65,536 places go to all). A worker scores its texts shard by shard and holds one
-at a time, so memory doesn't grow with the model.
+Words: pairs of neighbouring words are counted in all trusted texts; a word's own count is the number of words that it
+follows. A log probability is a sum over what a position has: the word, the word before as a context, and the pair if it
+was seen. So the model is one table key -> (value as predicted, value as context), sharded by key, and the perplexity of
+all documents is one join of their distinct words and pairs with it and a sum per document, done for a share of the
+documents after the other (`ROUNDS`). No worker holds the model, and nothing is gathered by the driver.
 
-A document's score is its mean surprise per byte, drawn to the language's mean by `PRIOR` bytes' worth, so that short texts
-aren't judged on a few bytes; its perplexity is the plain one. It is rejected above its language's quantile of the scores
-of trusted documents that the counts leave out (1 of `FOLD` by a hash of the id), plus a margin. Languages with fewer than
-`FEW` of these take the quantile over all languages.
+Bytes: counts of the highest order are combined per task, then summed by key; lower orders count distinct left extensions;
+contexts are aggregated and joined back by key. N-grams of a few bytes saturate, so this model stays small; it is written
+in shards by the two bytes before the predicted one, and a worker scores about `HELD` letters shard by shard and holds one at
+a time. It knows the spelling of words that the other has never seen.
+
+Of each model, a document's score is its mean surprise per word or byte, drawn to the language's mean by `WORD_PRIOR` words'
+or `PRIOR` bytes' worth, so that short texts aren't judged on a little; the perplexities are the plain ones. A document is
+rejected if one of the scores is above its language's quantile of the scores of trusted documents that the counts leave
+out (1 of `FOLD` by a hash of the id), plus a margin. Languages with fewer than `FEW` of these take the quantile over all
+languages.
 
 Defined results: null and empty texts have perplexity 1, and are kept; null languages are one language; null doc_ids are
 never trusted and are scored; repeated rows are scored each; without trusted text every document is kept with null scores;
-an empty table gives an empty table.
+an empty table gives an empty table. Words and pairs are told apart by 64-bit hashes, and documents, in the word model, by one
+of id and text.
 """
 
 from __future__ import annotations
@@ -30,10 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
-from phrasemill.llm.common import new_path, prepare, sized, written
+from phrasemill.llm.common import drop_written, new_path, prepare, sized, written
+from phrasemill.llm.passages import word_ids
 
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
+WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, HELD = 20, 0.1, 20, 4, 16_000_000
+START, COUNT = 1, 0  # a word before the first one; the key of a row with the number of words
 
 
 def codes(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -235,9 +244,9 @@ def surprise(docs: DataFrame, model: tuple[str, int], columns: list[str], text_c
     schema = lean.drop("__text").schema.add("n_bytes", "long").add("nll", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches if shards == 1 else _merged(batches, HELD):
             n_bytes, nll = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for lo, texts in parts_of(b.column(b.num_columns - 1), PART if shards == 1 else 16_000_000):
+            for lo, texts in parts_of(b.column(b.num_columns - 1), PART if shards == 1 else HELD):
                 keys, n = codes(texts, order)
                 n_bytes[lo : lo + len(texts)] = n
                 if not len(keys):
@@ -258,12 +267,151 @@ def surprise(docs: DataFrame, model: tuple[str, int], columns: list[str], text_c
     return lean.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", order: int = ORDER) -> tuple[str, int] | None:
+def _merged(batches: Iterator[pa.RecordBatch], letters: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts (the last column) have so many bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(b.num_columns - 1).nbytes
+        if size >= letters:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from t
+
+
+# words ---------------------------------------------------------------------------------------------------------------
+
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rot(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hashed(*longs: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for these long columns."""
+    h = np.full(len(longs[0]), 42, dtype=np.uint64)
+    for x in longs:
+        h = h + _P[4] + np.uint64(8)
+        h = _rot(h ^ (_rot(x.astype(np.int64).view(np.uint64) * _P[1], 31) * _P[0]), 27) * _P[0] + _P[3]
+        h = (h ^ (h >> np.uint64(33))) * _P[1]
+        h = (h ^ (h >> np.uint64(29))) * _P[2]
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, number of words per text) of every word in every text; before the first is START."""
+    ids, n = word_ids(texts)
+    own = ids.view(np.int64)
+    before = np.r_[np.int64(START), own[:-1]] if len(own) else own
+    first = (np.cumsum(n) - n)[n > 0]
+    before[first] = START
+    return before, own, n
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, n): how often each pair of neighbouring words comes in all texts (column text); equal pairs of a part are combined first."""
+    prepare(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _merged(batches, 4 * PART):
+            for _, part in parts_of(b.column(0), 4 * PART):
+                x, y, _ = pairs_of(part)
+                o = np.lexsort((y, x))
+                x, y = x[o], y[o]
+                at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[at, len(x)])
+                for lo in range(0, len(at), 100_000):
+                    own = at[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[own]), pa.array(y[own]), pa.array(n[lo : lo + 100_000])], ["a", "b", "n"])
+
+    return texts.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _cut(n: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def estimate_words(pairs: DataFrame) -> DataFrame:
+    """The word model (key, predicted, context) of the counts (a, b, n); the row of key COUNT has the log probability of
+    an unseen word. The sum of what a text's words and pairs have is its log probability."""
+    few = lambda df: discounts(*df.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first())
+    ones = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "kn-words")
+    d2, d1 = few(pairs), few(ones)
+    total = ones.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(_cut(F.col("n"), d1)).alias("free")).first()
+    rest = total["free"] / total["n"] / (UNSEEN * total["v"])  # of each unseen word
+    words = ones.select("b", F.log((F.col("n") - _cut(F.col("n"), d1)) / total["n"] + rest).alias("p"))
+    contexts = pairs.groupBy("a").agg(F.sum("n").alias("t"), F.sum(_cut(F.col("n"), d2)).alias("free"))
+    contexts = written(contexts.select("a", "t", F.log(F.col("free") / F.col("t")).alias("left")), "kn-contexts")
+    single = words.withColumnRenamed("b", "w").join(contexts.select(F.col("a").alias("w"), "left"), "w", "full")
+    floor = math.log(rest)
+    out = single.select(F.xxhash64("w").alias("key"), F.coalesce(F.col("p") - floor, F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("left", F.lit(0.0)).cast("float").alias("context"))
+    out = out.unionByName(pairs.sparkSession.createDataFrame([(COUNT, floor, 0.0)], "key long, predicted float, context float"))
+    made = [written(out, "kn-values")]
+    for k in range(ROUNDS):
+        own = pairs.where(F.pmod("b", F.lit(ROUNDS)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
+        p = (F.col("n") - _cut(F.col("n"), d2)) / F.col("t") + F.exp(F.col("left") + F.col("p"))
+        made.append(written(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context")), "kn-values"))
+    drop_written(ones, contexts)
+    values = made[0]
+    for m in made[1:]:
+        values = values.unionByName(m)
+    return values
+
+
+def word_surprise(docs: DataFrame, values: DataFrame, rid: str = "rid", text_col: str = "text") -> DataFrame:
+    """(rid, word_nll, n_words): the sum of -log probabilities of the words of the rows with this rid; no row without words."""
+    prepare(docs.sparkSession)
+    names = ["rid", "key", "n", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, texts in parts_of(b.column(1), PART):
+                before, own, n = pairs_of(texts)
+                if not len(own):
+                    continue
+                row = np.repeat(np.arange(len(texts)), n)
+                some = np.flatnonzero(n)
+                one = np.ones(len(own), np.int32)
+                rows = np.r_[row, row, row, some]
+                keys = np.r_[hashed(own), hashed(before), hashed(before, own), np.full(len(some), COUNT)]
+                pred = np.r_[one, 0 * one, one, n[some].astype(np.int32)]
+                ctx = np.r_[0 * one, one, 0 * one, np.zeros(len(some), np.int32)]
+                o = np.lexsort((keys, rows))
+                rows, keys, pred, ctx = rows[o], keys[o], pred[o], ctx[o]
+                at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])])
+                pred, ctx = np.add.reduceat(pred, at), np.add.reduceat(ctx, at)
+                rows, keys = ids[lo + rows[at]], keys[at]
+                for k in range(0, len(at), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (rows, keys, pred.astype(np.int32), ctx.astype(np.int32))], names)
+
+    out = None
+    lean = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
+    for k in range(ROUNDS):
+        seen = lean.where(F.pmod("rid", F.lit(ROUNDS)) == k).mapInArrow(run, "rid long, key long, n int, c int")
+        own = seen.join(values.hint("shuffle_hash"), "key").groupBy("rid").agg((-F.sum(F.col("n") * F.col("predicted").cast("double") + F.col("c") * F.col("context").cast("double"))).alias("word_nll"), F.sum(F.when(F.col("key") == COUNT, F.col("n"))).alias("n_words"))
+        own = written(own, "kn-word-sums")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", order: int = ORDER) -> tuple[tuple[str, int], DataFrame] | None:
+    """(byte model, word model) of the trusted texts; None without any."""
     trusted = written(trusted_ids(labels, id_col, label_col).where("not calibrates").select("id"), "kn-trusted")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(trusted, trusted.count()), "id", "left_semi").select("text")
     top = written(count(text, order), "kn-top")
-    made = None if top.isEmpty() else store(estimate(top, order), order)
-    return made
+    if top.isEmpty():
+        return None
+    made = store(estimate(top, order), order)
+    pairs = written(count_pairs(text), "kn-pairs")
+    values = estimate_words(pairs) if not pairs.isEmpty() else None
+    drop_written(pairs)
+    return made, values
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -272,39 +420,55 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
     return ok.select("id", (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLD)) == 0).alias("calibrates"))
 
 
+def _limits(known: DataFrame, nll: str, n: str, prior: int, quantile: float, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(group, mean, limit) per language, and the same over all languages in one row."""
+    known = known.where(F.col(n) > 0)
+    means = known.groupBy("group").agg((F.sum(nll) / F.sum(n)).alias("mean"))
+    overall = known.agg((F.sum(nll) / F.sum(n)).alias("overall"))
+    drawn = (F.col(nll) + prior * F.col("mean")) / (F.col(n) + prior)
+    held = known.where("calibrates").join(_few_rows(means), "group").select("group", F.round(drawn, 3).alias("s"))
+    at = held.groupBy("group").agg(F.percentile("s", quantile).alias("q"), F.count("*").alias("n"))
+    all_at = held.agg(F.percentile("s", quantile).alias("q_all"))
+    table = means.join(at, "group", "left").crossJoin(F.broadcast(all_at))  # one row
+    limit = F.when(F.col("n") >= FEW, F.col("q")).otherwise(F.coalesce(F.greatest("q", "q_all"), F.lit(1e9))) + margin
+    return table.select("group", "mean", limit.alias("limit")), overall.crossJoin(all_at).select("overall", (F.coalesce("q_all", F.lit(1e9)) + margin).alias("limit_all"))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, score, threshold, kept of every row."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    """doc_id, lang, n_bytes, perplexity, score, threshold, n_words, word_perplexity, word_score, word_threshold, kept of every row."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     model = train(docs, labels, id_col, text_col, label_col, order)
+    shown = ["doc_id", "lang", "n_bytes", "perplexity", "score", "threshold", "n_words", "word_perplexity", "word_score", "word_threshold", "kept"]
     if model is None:
-        null = F.lit(None).cast("double")
-        return plain.select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), null.alias("perplexity"), null.alias("score"), null.alias("threshold"), F.lit(True).alias("kept"))
-    raw = written(surprise(plain, model, ["doc_id", "lang"], order=order), "kn-scores").withColumn("group", F.coalesce("lang", F.lit("")))
+        null = {c: F.lit(None).cast("double") for c in ("perplexity", "score", "threshold", "word_perplexity", "word_score", "word_threshold")}
+        return plain.withColumns({**null, "n_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), "n_words": F.lit(None).cast("long"), "kept": F.lit(True)}).select(*shown)
+    raw = written(surprise(plain, model[0], ["doc_id", "lang", "rid"], order=order), "kn-scores")
+    if model[1] is None:
+        raw = raw.withColumns({"word_nll": F.lit(0.0), "n_words": F.lit(0).cast("long")})
+    else:
+        sums = word_surprise(plain, model[1])
+        # rows that repeat share a rid; their sums and numbers of words are multiples of one row's, and so is no mean
+        copies = raw.groupBy("rid").agg(F.count("*").alias("k")).where("k > 1")
+        joined = raw.join(sums, "rid", "left").join(copies, "rid", "left")
+        raw = joined.withColumns({"word_nll": F.coalesce(F.col("word_nll") / F.coalesce("k", F.lit(1)), F.lit(0.0)), "n_words": F.coalesce((F.col("n_words") / F.coalesce("k", F.lit(1))).cast("long"), F.lit(0))}).drop("k")
+    raw = written(raw.withColumn("group", F.coalesce("lang", F.lit(""))), "kn-both-scores")
     flags = trusted_ids(labels, id_col, label_col)
-    known = raw.join(flags, raw["doc_id"] == flags["id"]).where("n_bytes > 0").select("group", "n_bytes", "nll", "calibrates")
-    # two rounds of aggregates, a row per language each
-    means = known.groupBy("group").agg((F.sum("nll") / F.sum("n_bytes")).alias("mean"))
-    overall = known.agg((F.sum("nll") / F.sum("n_bytes")).alias("overall"))
-    drawn = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n_bytes") + PRIOR)
-    held = known.where("calibrates").join(F.broadcast(_few_rows(means)), "group").select("group", F.round(drawn, 3).alias("s"))
-    at = held.groupBy("group").agg(F.percentile("s", quantile).alias("q"), F.count("*").alias("n"))
-    all_at = held.agg(F.percentile("s", quantile).alias("q_all"))
-    table = _few_rows(means.join(at, "group", "left")).crossJoin(overall).crossJoin(all_at)
-    limits = table.select("group", "mean", (F.when(F.col("n") >= FEW, F.col("q")).otherwise(F.coalesce(F.greatest("q", "q_all"), F.lit(1e9))) + margin).alias("limit"))
-    rest = overall.crossJoin(all_at).select(F.col("overall"), (F.coalesce("q_all", F.lit(1e9)) + margin).alias("limit_all"))
-    out = raw.join(F.broadcast(limits), "group", "left").crossJoin(F.broadcast(rest))
-    mean = F.coalesce("mean", "overall")
-    s = F.when(F.col("n_bytes") == 0, 0.0).otherwise((F.col("nll") + PRIOR * mean) / (F.col("n_bytes") + PRIOR))
-    out = out.withColumn("score", s).withColumn("threshold", F.coalesce("limit", "limit_all"))
-    return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") == 0, 1.0).otherwise(F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"), "score", "threshold", (F.col("score") <= F.col("threshold")).alias("kept"))
+    known = raw.join(flags, raw["doc_id"] == flags["id"]).select("group", "n_bytes", "nll", "n_words", "word_nll", "calibrates")
+    out = raw
+    for nll, n, prior, m, name, plain_name, limit_name in (("nll", "n_bytes", PRIOR, margin, "score", "perplexity", "threshold"), ("word_nll", "n_words", WORD_PRIOR, WORD_MARGIN, "word_score", "word_perplexity", "word_threshold")):
+        limits, rest = _limits(known, nll, n, prior, quantile, m)
+        out = out.join(_few_rows(limits), "group", "left").crossJoin(F.broadcast(rest))  # one row
+        s = F.when(F.col(n) == 0, 0.0).otherwise((F.col(nll) + prior * F.coalesce("mean", "overall")) / (F.col(n) + prior))
+        p = F.when(F.col(n) == 0, 1.0).otherwise(F.exp(F.col(nll) / F.col(n)))
+        out = out.withColumns({name: s, plain_name: p, limit_name: F.coalesce("limit", "limit_all")}).drop("mean", "limit", "overall", "limit_all")
+    fine = F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("word_score") <= F.col("word_threshold"), F.lit(True))
+    return out.withColumn("kept", fine).select(*shown)
 
 
 def _few_rows(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """df, a row per language, checked to be as small as a broadcast needs."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} languages")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    """df, a row per language, marked for broadcasting if it is counted to be small; else joined by a shuffle."""
+    df = written(df, "kn-languages")
+    return sized(df, df.count(), most)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
