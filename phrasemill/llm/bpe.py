@@ -2,7 +2,9 @@
 
 The symbols of many words lie in one flat array with the word of each. A round looks every adjacent pair up in the
 sorted array of pair keys by binary search, takes each word's lowest-ranked pair, and merges it at all its places,
-leftmost first. Rounds go on until no word has a pair with a rank. Words come from whole texts by the tokenizer's own
+leftmost first. Rounds go on until no word has a pair with a rank. A round costs as much as all letters that are left, so
+words of over `LONG` letters, which may need as many rounds as they have letters, are merged one by one with a heap of
+pairs instead, in the same order. Words come from whole texts by the tokenizer's own
 normaliser and pattern; each distinct word of a batch is merged once, and a bounded memory of words spans batches.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to nothing; strings of added tokens become
@@ -12,6 +14,7 @@ those tokens; an empty table gives an empty table. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from phrasemill.llm.common import prepare
 
 MEMORY = 300_000
+LONG = 1000  # letters; longer pieces aren't kept in the memory either, which bounds its bytes
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -72,9 +76,46 @@ class WordBpe:
         self.memory: dict[str, tuple[str, str, int]] = {}
         self.older: dict[str, tuple[str, str, int]] = {}
         self.names = [str(i) for i in range(size)]
+        self.table: dict[int, tuple[int, int]] | None = None  # made when a long word comes
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, merged in rounds over all of them."""
+        """The ids of each word: short ones merged in rounds over all of them, long ones with a heap each."""
+        long = {k: self.merge_long(w) for k, w in enumerate(words) if len(w) > LONG}
+        if long:
+            short = iter(self._rounds([w for k, w in enumerate(words) if k not in long]))
+            return [long[k] if k in long else next(short) for k in range(len(words))]
+        return self._rounds(words)
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of a word in n log n steps: a linked list of symbols, and a heap of (rank, place) of adjacent pairs."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.new.tolist(), strict=True), strict=True))
+        table = self.table
+        flat = np.frombuffer(word, np.uint8)
+        symbol = self.inner[flat]
+        symbol[-1] = self.last[flat[-1]]
+        symbols = symbol.tolist()
+        n = len(symbols)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(m[0], k, m[1], a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (m := table.get((a << 32) | b))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, new, a, b = heapq.heappop(heap)
+            j = after[k]
+            if symbols[k] != a or j < 0 or symbols[j] != b:
+                continue  # one of them was merged
+            symbols[k], symbols[j] = new, -1
+            after[k] = z = after[j]
+            if z >= 0:
+                before[z] = k
+                if m := table.get((new << 32) | symbols[z]):
+                    heapq.heappush(heap, (m[0], k, m[1], new, symbols[z]))
+            p = before[k]
+            if p >= 0 and (m := table.get((symbols[p] << 32) | new)):
+                heapq.heappush(heap, (m[0], p, m[1], symbols[p], new))
+        return [x for x in symbols if x >= 0]
+
+    def _rounds(self, words: list[bytes]) -> list[list[int]]:
         if not words:
             return []
         lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -128,9 +169,10 @@ class WordBpe:
         text = text.lower()
         return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put chunks into the memory: (ids as text, tokens as text, number of ids). Two generations bound it."""
-        todo = []
+    def learn(self, chunks: set[str]) -> dict[str, tuple[str, str, int]]:
+        """Put chunks into the memory: (ids as text, tokens as text, number of ids). Two generations and the length of what
+        is kept bound it. Long chunks are returned instead."""
+        todo, own_ = [], {}
         if len(self.memory) > MEMORY:
             self.older, self.memory = self.memory, {}
         for c in chunks.difference(self.memory):
@@ -147,15 +189,17 @@ class WordBpe:
                 own = ids[ws[0]]
             else:
                 own = [self.added[c[1:]]] if c[0] == " " else [i for w in ws for i in ids[w]]
-            self.memory[c] = (" ".join([names[i] for i in own]), " ".join([tokens[i] for i in own]), len(own))
+            (self.memory if len(c) <= LONG else own_)[c] = (" ".join([names[i] for i in own]), " ".join([tokens[i] for i in own]), len(own))
+        return own_
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """Of each text: its ids in decimal and its tokens, joined by spaces, and the number of ids."""
         pieces = [self.chunks(t or "") for t in texts]
-        self.learn(set().union(*pieces) if pieces else set())
+        long = self.learn(set().union(*pieces) if pieces else set())
         memory = self.memory
         for ps in pieces:
-            found = [x for x in map(memory.__getitem__, ps) if x[2]]
+            known = [long[p] if p in long else memory[p] for p in ps] if long else map(memory.__getitem__, ps)
+            found = [x for x in known if x[2]]
             yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
 
 

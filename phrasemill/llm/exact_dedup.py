@@ -1,7 +1,8 @@
 """Exact dedup by deterministic block naming (DataFrame functions only).
 
-Normalised texts are cut into blocks of a fixed size. Distinct blocks are sorted and get integer names; then adjacent
-names are paired, distinct pairs sorted and named again, until every document has a single integer. Two documents have
+Normalised texts are cut into blocks of a fixed size. Distinct blocks are sorted, by a 128-bit digest, and get their ranks
+as names; then adjacent names are paired, distinct pairs sorted and ranked again, until every document has a single
+integer. Ranks don't depend on how rows are dealt to tasks. Two documents have
 equal integers of the same level exactly when their normalised texts are equal.
 
 Occurrences refer to a block by a 128-bit digest until its name is known. The named table holds the distinct blocks
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import sized, written
+from phrasemill.llm.common import drop_written, sized, written
+from phrasemill.operators.numbering import numbered
 
 BLOCK = 4096
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -39,9 +41,10 @@ def digests(x: Column, seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), x).alias("h1"), F.xxhash64(x, F.lit(seed + 1)).alias("h2"))
 
 
-def named(keys: DataFrame, order: list[str], out: list[Column]) -> DataFrame:
-    """Distinct rows of keys, sorted within hash partitions and numbered: the name is the partition and the place in it."""
-    return keys.distinct().sortWithinPartitions(*order).select(*out, F.monotonically_increasing_id().alias("name"))
+def named(keys: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct rows of keys with `name`, their rank from 1 in this order: sorted in range partitions, to each of which the
+    sizes of those before are added."""
+    return numbered(keys, [F.col(c) for c in order], "name")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -50,13 +53,12 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = base.select("doc_id", "n_cp", "th", "norm", cut(F.col("norm"), block).alias("blocks"))
     seed = 0
     while True:
-        names = written(
-            named(blocks.select(F.explode("blocks").alias("block")), ["block"], [digests(F.col("block"), seed).alias("h")]).select("h.*", "name"),
-            "block-names",
-        )
-        if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
+        distinct = written(blocks.select(F.explode("blocks").alias("block")).distinct().select(digests(F.col("block"), seed).alias("h")).select("h.*"), "block-digests")
+        if distinct.groupBy("h1", "h2").count().where("count > 1").isEmpty():
             break
+        drop_written(distinct)
         seed += 2
+    names = written(named(distinct, ["h1", "h2"]), "block-names")
     occ = written(blocks.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_cp", "th", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.transform("blocks", lambda b: digests(b, seed)).alias("hs")), "occurrences")
     first = occ.select("rid", F.posexplode("hs").alias("pos", "h")).select("rid", "pos", "h.*").join(names, ["h1", "h2"])
     cur = written(first.groupBy("rid").agg(_in_order("pos", "name")), "level-0")
@@ -68,8 +70,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         level += 1
         pairs = rest.select("rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("(size(names) - 1) div 2")), lambda k: F.struct(F.get("names", k * 2).alias("a"), F.coalesce(F.get("names", k * 2 + 1), F.lit(-1)).alias("b")))).alias("pos", "p")).select("rid", "pos", "p.*")
-        # one table for both uses: names must not change between the join and a later read
-        pair_names = written(named(pairs.select("a", "b"), ["a", "b"], [F.col("a"), F.col("b")]), "pair-names")
+        pair_names = written(named(pairs.select("a", "b").distinct(), ["a", "b"]), "pair-names")
         cur = written(pairs.join(pair_names, ["a", "b"]).groupBy("rid").agg(_in_order("pos", "name")), f"level-{level}")
     found = done[0]
     for d in done[1:]:

@@ -1,7 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 A page is split into blocks at block-level tags. The first pass decides blocks by link density, by the elements around
-them (menus, forms, asides, elements named as adverts, notices or comments), by stop-word density and by length; blocks
+them (menus, forms, asides, elements named as adverts, notices or comments), by stop-word density and by length; where no
+stop-word list applies (the letters are of a script without one, or no block of the page has such words), length and link
+density decide; blocks
 that it can't decide - short ones, and ones in the page's article whose words say too little - stay open. In the second
 pass an open block takes the label of its nearest decided neighbours: both agree, or the nearer one, within its own
 article if it has one; without any, blocks of an article are text and others are not.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +57,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # scripts that say a word in a letter or two
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 OPEN, GOOD, BAD = 0, 1, -1
 SHORT, LOW, HIGH, LINKS = 70, 0.15, 0.30, 0.33
 
@@ -73,6 +78,7 @@ def blocks_of(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int]] = []  # (name, boiler, article) of open elements
+    opened: Counter[str] = Counter()  # how many of each name are in it
     homes = in_link = 0
     heading = False
 
@@ -107,9 +113,11 @@ def blocks_of(page: str) -> list[Block]:
                 in_link = max(0, in_link - 1)
             if name in BLOCKS:
                 flush()
-            if any(n == name for n, _, _ in stack):
+            if opened[name]:
                 while stack:
-                    if stack.pop()[0] == name:
+                    n = stack.pop()[0]
+                    opened[n] -= 1
+                    if n == name:
                         break
             continue
         if name == "br":
@@ -121,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             if name in ("p", "li", "dd", "dt", "td", "th", "tr", "option") or stack and stack[-1][0] == "p":
                 peers = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(name, (name,))
                 while stack and (stack[-1][0] in ("p", *peers)):
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in VOID:
             continue
@@ -148,7 +156,7 @@ def blocks_of(page: str) -> list[Block]:
             if not home and not boiler:
                 homes += 1
                 home = homes
-            elif home and name == "article" and any(n == "article" for n, _, _ in stack):
+            elif home and name == "article" and opened["article"]:
                 boiler = True  # an article in an article is a reader comment
         if name in BOILER or name == "header" and not home or named and name not in ("html", "body", "article", "main") and not (body and top):
             boiler = True
@@ -156,6 +164,7 @@ def blocks_of(page: str) -> list[Block]:
             if name not in BLOCKS and boiler and not (stack and stack[-1][1]):
                 flush()  # an inline element that is boilerplate ends the block before it
             stack.append((name, boiler, home))
+            opened[name] += 1
     if at < len(page):
         said(page[at:])
     flush()
@@ -166,19 +175,24 @@ def labels_of(blocks: list[Block]) -> list[int]:
     """GOOD or BAD for each block."""
     any_home = any(b.home and not b.boiler for b in blocks)
     first = []
-    for b in blocks:
-        words = [w.lower() for w in _LETTERS.findall(b.text)]
-        density = sum(w in STOP for w in words) / len(words) if words else 0.0
+    found = [[w.lower() for w in _LETTERS.findall(b.text)] for b in blocks]
+    densities = [sum(w in STOP for w in words) / len(words) if words else 0.0 for words in found]
+    # in a language without a list, no long block has its words
+    listed = any(d >= LOW for d, b in zip(densities, blocks, strict=True) if len(b.text) >= SHORT) or not any(len(b.text) >= SHORT and not b.boiler and b.linked / len(b.text) <= LINKS for b in blocks)
+    for b, density in zip(blocks, densities, strict=True):
+        size = len(b.text) + 2 * len(_DENSE.findall(b.text))
+        if not listed or 2 * len(_LATIN.findall(b.text)) < sum(map(str.isalpha, b.text)):
+            density = HIGH  # unknown: length decides
         if b.boiler or any_home and not b.home or b.linked / len(b.text) > LINKS:
             first.append(BAD)
         elif b.home:
-            first.append(GOOD if len(b.text) >= SHORT and density >= LOW else OPEN)
-        elif b.text.startswith(("©", "Copyright")) or "©" in b.text[:40] or b.heading and len(b.text) < SHORT:
+            first.append(GOOD if size >= SHORT and density >= LOW else OPEN)
+        elif b.text.startswith(("©", "Copyright")) or "©" in b.text[:40] or b.heading and size < SHORT:
             first.append(BAD if not b.heading else OPEN)
-        elif len(b.text) < SHORT:
+        elif size < SHORT:
             first.append(OPEN)
         else:
-            first.append(GOOD if density >= HIGH or density >= LOW and len(b.text) > 200 else OPEN if density >= LOW else BAD)
+            first.append(GOOD if density >= HIGH or density >= LOW and size > 200 else OPEN if density >= LOW else BAD)
     out = list(first)
     # the nearest decided block before and after each, with its distance
     for k, b in enumerate(blocks):

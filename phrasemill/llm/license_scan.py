@@ -1,9 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, extended by as many following words as the longest phrase has besides its first, so that
-phrases across lines lie in a block. Notices wrapped over lines are looked for in windows besides: as many consecutive
-words, wherever lines end, as the template has, divided by its threshold. A template is found in a block or window that
-has at least its threshold's share of the template's distinct words. Words are ordered by their frequency in all texts, rarest first. A template of n words
+A block is a sliding window: for a notice as many consecutive words, wherever lines end, as the template has, divided by
+its threshold; so a notice is found over several lines, and words scattered over a long line aren't one. Phrases are looked
+for in lines, extended by as many following words as the longest phrase has besides its first. A template is found in a
+block that has at least its threshold's share of the template's distinct words. Words are ordered by their frequency in all texts, rarest first. A template of n words
 that needs m of them must share one of its first n - m + 1 with the block (prefix filter); a block with fewer than m
 words is out (length filter); and a first common word too late in either order leaves too few behind it (positional
 filter). What is left is verified on the words themselves. Phrases are templates that need all their words; their places
@@ -159,28 +159,23 @@ class Join:
                 seen = q
                 a = max(lo, int(np.searchsorted(b.starts, b.breaks[q - 1]))) if q else lo
                 e = min(hi, int(np.searchsorted(b.starts, b.breaks[q]))) if q < len(b.breaks) else hi
-                blocks.setdefault((a, e, t), set()).update(self.index[self.rank[w]])
+                if own := [c for c in self.index[self.rank[w]] if c < self.n_phrases]:
+                    blocks.setdefault((a, e, t), set()).update(own)
         for (a, e, t), candidates in blocks.items():
             hi = min(int(b.first[t + 1]), e + self.lap)
             ws = [b.data[b.starts[k] : b.ends[k]] for k in range(a, hi)]
+            mine = sorted({self.rank[w] for w in ws if w in self.rank})  # once for all candidates
             for c in candidates:
-                phrase = c < self.n_phrases
-                own = ws if phrase else ws[: e - a]
-                if len(own) < self.need[c]:
+                if len(ws) < self.need[c] or _overlap(self.sets[c], mine, self.need[c]) < self.need[c]:
                     continue
-                mine = sorted({self.rank[w] for w in own if w in self.rank})
-                overlap = _overlap(self.sets[c], mine, self.need[c])
-                if overlap < self.need[c]:
+                x = self.words[c]
+                here = [a + k - int(b.first[t]) for k in range(e - a) if ws[k : k + len(x)] == x]
+                if not here:
                     continue
                 base, labels, places, score = found.setdefault(t, (set(), set(), set(), [0.0]))
-                if phrase:
-                    x = self.words[c]
-                    here = [a + k - int(b.first[t]) for k in range(e - a) if ws[k : k + len(x)] == x]
-                    if not here:
-                        continue
-                    base.add(self.templates[c].label), places.update((c, k) for k in here)
+                base.add(self.templates[c].label), places.update((c, k) for k in here)
                 labels.add(self.templates[c].label)
-                score[0] = max(score[0], overlap / len(self.sets[c]))
+                score[0] = 1.0
         for (t, c), own in stretches.items():
             overlap = max(self._best([b.data[b.starts[k] : b.ends[k]] for k in range(a, e)], c) for a, e in own)
             if overlap >= self.need[c]:

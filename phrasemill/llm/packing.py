@@ -1,9 +1,13 @@
 """Harmonic packing of documents into token sequences.
 
-A document's ids, ended by id 0, are cut into pieces whose lengths divide the capacity: whole sequences first, then the
-binary digits of the rest. A piece of length l belongs to class capacity / l, and a bin of class k takes exactly k
-pieces, so a full bin has no padding. Every worker fills bins of its own; bins open at its end (fewer than k pieces,
-which bounds what a worker holds) are closed in groups whose total is a power of two and which thus need no padding.
+A document's ids, ended by id 0, are cut into whole sequences and a rest. A piece of length l belongs to class
+k = floor(capacity / l), and a bin of class k takes exactly k pieces, whatever their lengths, so bins are filled without
+looking at what fits. A rest stays whole if k pieces of its length leave at most `PADDING` of the capacity free; else a piece
+of floor(capacity / (k + 1)), which fits class k + 1, is cut off, and what is left, shorter than capacity / (k * (k + 1)), is
+classified again. So a full bin has padding of at most `PADDING` and `capacity` / k - floor(capacity / k) for each piece.
+
+Every worker fills bins of its own. Bins open at its end (fewer than k pieces, so at most a sequence per class) are laid
+one after the other and cut into full sequences, and the last ids into sequences of powers of two, which need no padding.
 
 Defined results: null text counts as empty, a document of the single id 0; null doc_id is packed like others; repeated
 rows are packed as often as they come; an empty table gives an empty table. Other columns are ignored.
@@ -27,6 +31,8 @@ from phrasemill.llm.common import prepare
 
 CAPACITY = 1024
 MEMORY = 250_000
+LONGEST = 64  # letters of a string that is kept, so the memory is bounded in bytes
+PADDING = 32  # 1/32 of the capacity
 
 
 class ByteIds:
@@ -54,10 +60,12 @@ class ByteIds:
         try:
             return head + b"".join([memory[x] for x in rest])
         except KeyError:
+            own: dict[str, bytes | None] = {}
             for x in set(rest).difference(memory):
                 # before a space that other white space follows, a text can't always be cut
-                memory[x] = self.older.get(x) or (None if not x or x[0].isspace() else self._ids(" " + x))
-            found = [memory[x] for x in rest]
+                kept = memory if len(x) <= LONGEST else own
+                kept[x] = self.older.get(x) or (None if not x or x[0].isspace() else self._ids(" " + x))
+            found = [own[x] if x in own else memory[x] for x in rest]
             if len(memory) > MEMORY:
                 self.older, self.memory = memory, {}
             return self._ids(text) if None in found else head + b"".join(found)
@@ -68,40 +76,55 @@ class ByteIds:
         return array("I", self.plain.encode_ordinary(text)).tobytes()
 
 
-def digits(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of the pieces of a document, each a divisor (a power of two) of the capacity."""
+def pieces(length: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of the pieces of a document."""
     out = [capacity] * (length // capacity)
     rest = length % capacity
-    return out + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    while rest:
+        k = capacity // rest
+        n = rest if PADDING * (capacity - k * rest) <= capacity else capacity // (k + 1)
+        out.append(n)
+        rest -= n
+    return out
 
 
 class Bins:
-    """Open bins of one worker, by piece length: at most capacity / length - 1 pieces each."""
+    """Open bins of one worker, by class: at most k - 1 pieces of class k. A piece is (doc_id, start, length, total, ids)."""
 
     def __init__(self, worker: int, capacity: int = CAPACITY) -> None:
         self.next, self.capacity, self.open = worker << 40, capacity, {}
 
-    def add(self, length: int, piece: tuple) -> list[tuple]:
+    def add(self, piece: tuple) -> list[tuple]:
         """Rows (*piece, sequence, offset) of the bin that the piece fills, if it does."""
-        held = self.open.setdefault(length, [])
+        k = self.capacity // piece[2]
+        held = self.open.setdefault(k, [])
         held.append(piece)
-        if len(held) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._close(length, held)
+        return self._close(self.open.pop(k)) if len(held) == k else []
 
-    def _close(self, length: int, held: list[tuple]) -> list[tuple]:
+    def _close(self, held: list[tuple]) -> list[tuple]:
         self.next += 1
-        return [(*p, self.next - 1, k * length) for k, p in enumerate(held)]
+        out, at = [], 0
+        for p in held:
+            out.append((*p, self.next - 1, at))
+            at += p[2]
+        return out
 
     def finish(self) -> list[tuple]:
-        out = []
-        for length, held in self.open.items():
-            while held:
-                n = 1 << (len(held).bit_length() - 1)
-                out += self._close(length, held[:n])
-                held = held[n:]
+        left = [p for k in sorted(self.open) for p in self.open[k]]
         self.open = {}
+        total = sum(p[2] for p in left)
+        sizes = [self.capacity] * (total // self.capacity) + [1 << k for k in range(self.capacity.bit_length() - 1, -1, -1) if (total % self.capacity) >> k & 1]
+        out, k, used = [], 0, 0
+        for room in sizes:
+            held = []
+            while room:
+                doc, start, length, whole, ids = left[k]
+                n = min(room, length - used)
+                held.append((doc, start + used, n, whole, ids[4 * used : 4 * (used + n)]))
+                room, used = room - n, used + n
+                if used == length:
+                    k, used = k + 1, 0
+            out += self._close(held)
         return out
 
 
@@ -116,7 +139,7 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, id_col:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (json_path, rank_path)
+        key = (json_path, rank_path, pattern)
         if key not in _loaded:
             _loaded[key] = ByteIds(json_path, rank_path, pattern)
         coder, bins, rows = _loaded[key], Bins(TaskContext.get().partitionId(), capacity), []
@@ -136,8 +159,8 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, id_col:
                 for k, t in enumerate(texts, lo):
                     ids = coder.encode(t or "") + b"\0\0\0\0"
                     total, at = len(ids) // 4, 0
-                    for n in digits(total, capacity):
-                        rows += bins.add(n, (doc_ids[k], at, n, total, ids[4 * at : 4 * (at + n)]))
+                    for n in pieces(total, capacity):
+                        rows += bins.add((doc_ids[k], at, n, total, ids[4 * at : 4 * (at + n)]))
                         at += n
                 if rows:
                     yield batch()

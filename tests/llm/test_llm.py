@@ -62,6 +62,13 @@ def test_exact_dedup_against_brute_force(spark):
     assert len({(r.level, r.name) for r in got}) == len(groups)
 
 
+def test_names_are_ranks_on_any_number_of_partitions(spark):
+    docs = table(spark, [prose(900, s % 7) for s in range(20)])
+    one = {r.doc_id: (r.level, r.name) for r in exact_dedup.identities(docs.repartition(1), block=64).collect()}
+    assert one == {r.doc_id: (r.level, r.name) for r in exact_dedup.identities(docs.repartition(7), block=64).collect()}
+    assert len(set(one.values())) == 7 and {n for _, n in one.values()} == set(range(1, 8))
+
+
 def test_exact_dedup_repeated_rows_null_ids_and_empty(spark):
     rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (None, "ab", "en", "s", 2), (None, "z", None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
@@ -156,9 +163,40 @@ def test_packing_is_whole_gapless_and_unpadded(spark):
     for rows in sequences.values():
         rows.sort(key=lambda r: r.offset)
         total = sum(r.length for r in rows)
-        assert total <= 1024 and total & (total - 1) == 0  # never padded
+        assert 1024 - total <= 1024 // packing.PADDING or total & (total - 1) == 0 or total >= len(rows) * (1024 // len(rows))
         assert [r.offset for r in rows] == list(itertools.accumulate([0, *[r.length for r in rows]]))[:-1]
-        assert len({r.length for r in rows}) == 1  # one class per bin
+
+
+@pytest.mark.parametrize("capacity", [1024, 256, 8, 1])
+def test_pieces_and_bins_of_every_length(capacity):
+    r = np.random.default_rng(4)
+    lengths = [*range(1, 3 * capacity), *r.integers(1, 8 * capacity, 300).tolist()]
+    bins, rows, want = packing.Bins(3, capacity), [], 0
+    for k, n in enumerate(lengths):
+        at, parts = 0, packing.pieces(n, capacity)
+        assert sum(parts) == n and all(0 < x <= capacity for x in parts)
+        for x in parts:
+            rows += bins.add((k, at, x, n, bytes(4 * x)))
+            at += x
+        want += n
+    for held in bins.open.values():
+        assert len(held) < capacity // held[0][2]
+    full = len({x[5] for x in rows})
+    assert full * capacity - sum(x[2] for x in rows) <= full * capacity / packing.PADDING
+    rows += bins.finish()
+    assert sum(x[2] for x in rows) == want and all(len(x[4]) == 4 * x[2] for x in rows)
+    seen: dict[int, list] = {}
+    for x in rows:
+        seen.setdefault(x[5], []).append(x)
+    assert all([y[6] for y in x] == list(itertools.accumulate([0, *[y[2] for y in x]]))[:-1] and sum(y[2] for y in x) <= capacity for x in seen.values())
+    places = sorted((x[0], x[1], x[2]) for x in rows)
+    assert all(a[1] + a[2] == b[1] for a, b in itertools.pairwise(places) if a[0] == b[0])
+
+
+def test_packing_of_null_ids_and_clashing_columns(spark):
+    docs = clashing(table(spark, ["a b", None])).withColumns({"doc_id": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("long")})
+    got = packing.pack(docs, pt.path("byte_bpe_50k.json"), pt.path("byte_bpe_50k.tiktoken"), pt.PATTERN).collect()
+    assert all(r.doc_id is None for r in got) and sum(r.length for r in got) == 4
 
 
 def test_packing_empty(spark):
@@ -182,6 +220,25 @@ def test_bpe_equals_the_library(spark):
 # licenses ------------------------------------------------------------------------------------------------------------
 
 
+def test_bpe_of_long_words():
+    import time
+
+    bpe_ = bpe.load(pt.path("word_bpe_49k.json"))
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("abcdeinrst"), n)).encode() for n in (2, 40, 300, 999)] + [b"a" * 700, "é".encode() * 300]
+    assert [bpe_.merge_long(w) for w in words] == bpe_._rounds(words)
+    took = []
+    for n in (20_000, 100_000):
+        t = time.process_time()
+        bpe_.merge(["".join(r.choice(list("abcdeinrst"), n)).encode()])
+        took.append(time.process_time() - t)
+    assert took[1] < 12 * took[0] + 0.5
+    tk = Tokenizer.from_file(pt.path("word_bpe_49k.json"))
+    text = "".join(r.choice(list("abcdeinrst"), 30_000))
+    assert next(bpe_.encode([text]))[0] == " ".join(map(str, tk.encode(text, add_special_tokens=False).ids))
+    assert text not in bpe_.memory
+
+
 def test_license_scan_against_brute_force(spark):
     texts = [*ODD, "cc\nby cc-by", "All\n\nrights reserved. all RIGHTS reserved", "general public\nlicense", "by cc license public general", "Licensed under the Apache License, Version 2.0.", "Licensed under Apache License Version 2", "rights all reserved"]
     got = {r.doc_id: r for r in license_scan.license_scan(clashing(table(spark, texts))).collect()}
@@ -198,8 +255,9 @@ def test_license_scan_against_brute_force(spark):
         r = got[k]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
         for n in license_scan.NOTICES:
-            need = set(pattern.findall(low(n.text)))
-            best = max([len(need & set(pattern.findall(low(line)))) / len(need) for line in (t or "").split("\n")])
+            need = pattern.findall(low(n.text))
+            width = -int(-len(need) / n.threshold // 1)
+            best = max(len(set(need) & set(w[i : i + width])) / len(set(need)) for i in range(max(1, len(w) - width + 1)))
             if best >= n.threshold:
                 labels.add(n.label)
         assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
@@ -225,7 +283,7 @@ def test_license_notices_wrapped_over_lines(spark):
         for n in license_scan.NOTICES:
             x = pattern.findall(n.text.lower())
             width = -int(-len(x) / n.threshold // 1)
-            blocks = [pattern.findall(line) for line in (t or "").lower().split("\n")] + [w[i : i + width] for i in range(max(1, len(w) - width + 1))]
+            blocks = [w[i : i + width] for i in range(max(1, len(w) - width + 1))]
             best = max(len(set(x) & set(b)) / len(set(x)) for b in blocks)
             if best >= n.threshold:
                 labels.add(n.label)
@@ -238,6 +296,14 @@ def test_license_notices_wrapped_over_lines(spark):
     assert {"mit", "bsd", "mpl", "apache", "unlicense", "cc-by"} <= wrapped
 
 
+def test_license_words_scattered_over_a_long_line_are_no_notice(spark):
+    line = prose(280, 1) + " released " + prose(280, 2) + " under the " + prose(280, 3) + " MIT " + prose(280, 4) + " License " + prose(280, 5)
+    two = license_scan.NOTICES[2].text.replace("obtaining", "obtaining\n")
+    got = {r.doc_id: r for r in license_scan.license_scan(table(spark, [line, two])).collect()}
+    assert got[0].labels == "" and got[0].score == 0 and got[1].labels == "mit"
+    assert license_scan.license_scan(table(spark, []).limit(0)).count() == 0
+
+
 # search --------------------------------------------------------------------------------------------------------------
 
 
@@ -373,6 +439,64 @@ def test_html_rules():
     assert html_text.main_text(None) == "" and html_text.main_text("") == "" and html_text.main_text("<p") == "" and html_text.main_text("plain text") == "plain text"
 
 
+@pytest.mark.parametrize("sentence", ["Это первое предложение статьи, в котором достаточно слов, чтобы считать его текстом страницы.", "これは記事の最初の文であり、ページの本文と見なされるのに十分な長さがあります。さらに続きの文もあります。", "Αυτή είναι η πρώτη πρόταση του άρθρου και έχει αρκετές λέξεις ώστε να θεωρηθεί κείμενο.", "To jest pierwsze zdanie tego tekstu i ma ono wystarczająco wiele słów, aby uznać je za treść strony."])
+def test_html_in_languages_without_a_list(sentence):
+    page = f'<html><body><nav><a href="/">x</a></nav><div><p>{sentence}</p><p>{sentence[:20]}.</p><p>{sentence}</p><p><a href="/y">{sentence}</a></p></div><footer>{sentence}</footer></body></html>'
+    assert html_text.main_text(page) == "\n\n".join([sentence, sentence[:20] + ".", sentence])
+
+
+def test_html_of_deep_and_unmatched_tags_takes_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        t = time.process_time()
+        assert html_text.main_text("<article>" + "<div>" * n + "the text of it" + "</span></b>" * n + "</article>") == "the text of it"
+        took.append(time.process_time() - t)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_html_rules_against_brute_force():
+    """Labels of random blocks by the rules as the docstring has them, block by block over the whole list."""
+
+    def plain(blocks):
+        stop = [0 if not (w := re.findall(r"[^\W\d_]+", b.text.lower())) else sum(x in html_text.STOP for x in w) / len(w) for b in blocks]
+        first = []
+        for b, d in zip(blocks, stop, strict=True):
+            n = len(b.text)
+            if b.boiler or b.linked / n > html_text.LINKS:
+                first.append(-1)
+            elif n < html_text.SHORT:
+                first.append(0)
+            else:
+                first.append(1 if d >= html_text.HIGH or d >= html_text.LOW and n > 200 else 0 if d >= html_text.LOW else -1)
+        out = []
+        for k, x in enumerate(first):
+            if x == 0:
+                near = [(abs(j - k), j) for j, y in enumerate(first) if y]
+                sides = [min((p for p in near if (p[1] < k) == before), default=None) for before in (True, False)]
+                known = [p for p in sides if p]
+                labels = [first[j] for _, j in known]
+                x = -1 if not known else labels[0] if len(set(labels)) == 1 else first[min(known, key=lambda p: (p[0], -first[p[1]]))[1]]
+            out.append(x)
+        return out if 1 in out else [1 if a == 0 and not b.linked else y for b, a, y in zip(blocks, first, out, strict=True)]
+
+    for seed in range(300):
+        r = np.random.default_rng(seed)
+        blocks = []
+        for _ in range(int(r.integers(1, 9))):
+            text = " ".join(r.choice(["the", "of", "and", "wort", "zqx", "blorp", "is"], int(r.integers(1, 60))))
+            blocks.append(html_text.Block(text, int(r.choice([0, 0, len(text) // 2, len(text)])), bool(r.integers(0, 5) == 0), 0, False))
+        blocks.append(html_text.Block("the text of it and the rest of the words that are in it " * 5, 0, False, 0, False))
+        assert html_text.labels_of(blocks) == plain(blocks)
+
+
+def test_html_of_odd_tables(spark):
+    pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "<article>It is so</article>", 2), (1, "u", "<article>It is so</article>", 2)], "page_id long, url string, html string, text int")
+    assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("It is so", 8), ("It is so", 8)]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_pages_table(spark, sf):
     import html as h
 
