@@ -329,6 +329,28 @@ def test_top_k_against_brute_force(spark):
 # quality -------------------------------------------------------------------------------------------------------------
 
 
+def test_trees_prune_where_vectors_lie_in_clusters():
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 60, (30, 16))
+    x = np.floor(centres[r.integers(0, 30, 6000)] + r.normal(0, 2, (6000, 16)))
+    q = x[:300]
+    best = topk.dual_search(q, np.arange(300), np.full(300, -np.inf), x, np.arange(6000), 10)
+    assert best.visited < 0.2 * 300 * 6000
+    score = q @ x.T
+    score[np.arange(300), np.arange(300)] = -np.inf
+    assert all(sorted((s for s, _ in best.found[k]), reverse=True) == np.sort(score[k])[::-1][:10].tolist() for k in range(300))
+
+
+def test_top_k_clashing_columns_and_equal_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, [1.0, 0.0]) for k in range(400)] + [(1000, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("cell", "part", "batch", "v", "kth", "far", "shell", "norm")])
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, 3, block=50, query_block=2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got if r.query_id in (0, 300, 1000)] == [(0, 1, 4096), (0, 2, 4096), (0, 3, 4096), (300, 0, 4096), (300, 1, 4096), (300, 2, 4096), (1000, 0, 0), (1000, 1, 0), (1000, 2, 0)]
+
+
 def test_model_probabilities_sum_to_one(spark):
     texts = table(spark, ["abracadabra", "banana bandana", None, ""])
     path, n = kn_quality.store(kn_quality.estimate(kn_quality.count(texts)))
