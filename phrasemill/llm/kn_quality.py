@@ -41,7 +41,7 @@ from phrasemill.llm.passages import word_ids
 
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
-WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, HELD = 20, 0.1, 20, 4, 16_000_000
+WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, COUNT_ROUNDS, HELD = 20, 0.1, 20, 12, 2, 16_000_000
 START, COUNT = 1, 0  # a word before the first one; the key of a row with the number of words
 
 
@@ -314,13 +314,16 @@ def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def count_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b, n): how often each pair of neighbouring words comes in all texts (column text); equal pairs of a part are combined first."""
+    """(a, b, n): how often each pair of neighbouring words comes in all texts (column text); equal pairs of a part are
+    combined first. Pairs are counted for a share of the words after the other, which bounds the disk that it takes."""
     prepare(texts.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
         for b in _merged(batches, 4 * PART):
             for _, part in parts_of(b.column(0), 4 * PART):
                 x, y, _ = pairs_of(part)
+                own = y % COUNT_ROUNDS == share
+                x, y = x[own], y[own]
                 o = np.lexsort((y, x))
                 x, y = x[o], y[o]
                 at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
@@ -329,7 +332,11 @@ def count_pairs(texts: DataFrame) -> DataFrame:
                     own = at[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(x[own]), pa.array(y[own]), pa.array(n[lo : lo + 100_000])], ["a", "b", "n"])
 
-    return texts.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    out = None
+    for k in range(COUNT_ROUNDS):
+        own = written(texts.select("text").mapInArrow(lambda b, k=k: run(b, k), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "kn-pairs")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _cut(n: Column, d: tuple[float, float, float]) -> Column:
@@ -352,8 +359,8 @@ def estimate_words(pairs: DataFrame) -> DataFrame:
     out = single.select(F.xxhash64("w").alias("key"), F.coalesce(F.col("p") - floor, F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("left", F.lit(0.0)).cast("float").alias("context"))
     out = out.unionByName(pairs.sparkSession.createDataFrame([(COUNT, floor, 0.0)], "key long, predicted float, context float"))
     made = [written(out, "kn-values")]
-    for k in range(ROUNDS):
-        own = pairs.where(F.pmod("b", F.lit(ROUNDS)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
+    for k in range(4):
+        own = pairs.where(F.pmod("b", F.lit(4)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
         p = (F.col("n") - _cut(F.col("n"), d2)) / F.col("t") + F.exp(F.col("left") + F.col("p"))
         made.append(written(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context")), "kn-values"))
     drop_written(ones, contexts)
@@ -408,7 +415,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if top.isEmpty():
         return None
     made = store(estimate(top, order), order)
-    pairs = written(count_pairs(text), "kn-pairs")
+    pairs = count_pairs(text)
     values = estimate_words(pairs) if not pairs.isEmpty() else None
     drop_written(pairs)
     return made, values

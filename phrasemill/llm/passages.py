@@ -157,8 +157,11 @@ def windows_of(texts: list[str | None], hashes: int = HASHES, min_words: int = M
         left, c, r = compact_windows(values[h], least)
         # what the next hash sees before or behind c, as far as the text goes
         other = np.where(values[(h + 1) % hashes] == 0, _TOP, values[(h + 1) % hashes])
-        lead = np.zeros(0, np.uint32) if h % 2 else np.full(AROUND, _TOP)
-        side = _slide(np.r_[lead, other], AROUND + 1, np.minimum, int(_TOP))[:size][c]
+        near = c[:, None] + (np.arange(AROUND + 1) if h % 2 else -np.arange(AROUND + 1))
+        # a gap between texts, and what lies beyond it, is left out
+        seen = other[np.clip(near, 0, size - 1)]
+        seen[np.logical_or.accumulate(seen == _TOP, axis=1)] = _TOP
+        side = seen.min(axis=1)
         t = np.searchsorted(place, c, side="right") - 1
         off = place[t]
         key = (mixed(full[c] ^ _MULT[10 + h]) >> np.uint64(4)) << np.uint64(4) | np.uint64(h)
@@ -272,6 +275,33 @@ def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return found.select("key", *sides).repartition("doc", "doc2").sortWithinPartitions("doc", "doc2").mapInPandas(join, "doc long, lo int, hi int, doc2 long, lo2 int, hi2 int")
 
 
+def _chained(chains: list[list[tuple[int, int, int]]], sa: list, sb: list, min_words: int, similar: float) -> list[tuple[int, int, int, int, float]]:
+    """Passages of runs (start, length, start in b) of equal shingles that are in the order of both regions."""
+    out = []
+    for chain in chains:
+        if not chain:
+            continue
+        s, n, p = (np.array(x, dtype=np.int64) for x in zip(*chain, strict=True))
+        total = np.concatenate([[0], np.cumsum(n)])
+        i = 0
+        while i < len(s):
+            inter = total[i + 1 :] - total[i]
+            span, span2 = s[i:] + n[i:] - s[i], p[i:] + n[i:] - p[i]
+            ok = np.flatnonzero((inter >= similar * (span + span2 - inter)) & (np.minimum(span, span2) + SHINGLE - 1 >= min_words))
+            if not len(ok):
+                i += 1
+                continue
+            j = i + int(ok[-1])
+            whole = (int(s[i]), int(s[j] + n[j]), int(p[i]), int(p[j] + n[j]))
+            singles = [(int(s[q]), int(s[q] + n[q]), int(p[q]), int(p[q] + n[q])) for q in range(i, j + 1) if n[q] + SHINGLE - 1 >= min_words]
+            x, y = set(sa[whole[0] : whole[1]]), set(sb[whole[2] : whole[3]])
+            jac = len(x & y) / len(x | y)
+            found = [(*whole, jac)] if jac >= similar else [(*q, 1.0) for q in singles]
+            out += [(lo, hi + SHINGLE - 1, lo2, hi2 + SHINGLE - 1, float(v)) for lo, hi, lo2, hi2, v in found]
+            i = j + 1
+    return out
+
+
 def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start2, end2, similarity) in words of two regions that are near-duplicates.
 
@@ -308,40 +338,47 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
             chains.append([])
         chains[-1].append((k, n, p))
         shift, k = p - k, k + n
-    out = []
-    for chain in chains:
-        if not chain:
-            continue
-        s, n, p = (np.array(x, dtype=np.int64) for x in zip(*chain, strict=True))
-        total = np.concatenate([[0], np.cumsum(n)])
-        i = 0
-        while i < len(s):
-            inter = total[i + 1 :] - total[i]
-            span, span2 = s[i:] + n[i:] - s[i], p[i:] + n[i:] - p[i]
-            ok = np.flatnonzero((inter >= similar * (span + span2 - inter)) & (np.minimum(span, span2) + SHINGLE - 1 >= min_words))
-            if not len(ok):
-                i += 1
-                continue
-            j = i + int(ok[-1])
-            whole = (int(s[i]), int(s[j] + n[j]), int(p[i]), int(p[j] + n[j]))
-            singles = [(int(s[q]), int(s[q] + n[q]), int(p[q]), int(p[q] + n[q])) for q in range(i, j + 1) if n[q] + SHINGLE - 1 >= min_words]
-            x, y = set(sa[whole[0] : whole[1]]), set(sb[whole[2] : whole[3]])
-            jac = len(x & y) / len(x | y)
-            found = [(*whole, jac)] if jac >= similar else [(*q, 1.0) for q in singles]
-            out += [(lo, hi + SHINGLE - 1, lo2, hi2 + SHINGLE - 1, float(v)) for lo, hi, lo2, hi2, v in found]
-            i = j + 1
+    out = _chained(chains, sa, sb, min_words, similar)
     if len(at) < len(sb):
         out += _missed(xa, xb, min_words, [x[:2] for x in out])
     return out
 
 
-def verify_text(a: bytes, b: bytes, min_words: int = MIN_WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
-    """verify_pair of words joined by spaces; if b holds all of a, that is the passage."""
-    at = (b" " + b + b" ").find(b" " + a + b" ") if a else -1
-    if at < 0:
-        return verify_pair(a.split(), b.split(), min_words, similar)
-    n, p = a.count(b" ") + 1, b[:at].count(b" ")
-    return [(0, n, p, p + n, 1.0)] if n >= min_words else []
+def verify_texts(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, similar: float = SIMILAR) -> Iterator[list[tuple[int, int, int, int, float]]]:
+    """verify_pair of each a and b, words joined by spaces. Regions without repeated shingles are compared by word ids."""
+    ids, n = word_ids([x.decode("utf-8", "surrogatepass") for x in (*a, *b)])
+    ends = np.cumsum(n)
+    own = [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    for k in range(len(a)):
+        found = verify_ids(own[k], own[len(a) + k], min_words, similar)
+        yield verify_pair(a[k].split(), b[k].split(), min_words, similar) if found is None else found
+
+
+def verify_ids(x: np.ndarray, y: np.ndarray, min_words: int = MIN_WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]] | None:
+    """What verify_pair finds, from the ids of the words: runs of equal shingles in numpy. None if shingles of y repeat."""
+    if min(len(x), len(y)) < min_words:
+        return []
+    sx, sy = shingle_ids(x), shingle_ids(y)
+    order = np.argsort(sy, kind="stable")
+    known = sy[order]
+    if (known[1:] == known[:-1]).any():
+        return None
+    at = np.minimum(np.searchsorted(known, sx), len(known) - 1)
+    place = np.where(known[at] == sx, order[at], -1)
+    edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (place[:-1] < 0)])
+    edge = edge[place[edge] >= 0]
+    if not len(edge):
+        return []
+    # a run ends where the next place isn't one further
+    stop = np.flatnonzero(np.r_[(place[1:] != place[:-1] + 1) | (place[:-1] < 0), True])
+    stop = stop[place[stop] >= 0]
+    chains: list[list[tuple[int, int, int]]] = [[]]
+    for k, n, p in zip(edge.tolist(), (stop - edge + 1).tolist(), place[edge].tolist(), strict=True):
+        last = chains[-1]
+        if last and p < last[-1][2] + last[-1][1]:
+            chains.append([])
+        chains[-1].append((k, n, p))
+    return _chained(chains, sx.tolist(), sy.tolist(), min_words, similar)
 
 
 def _missed(a: list[int], b: list[int], width: int, held: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
@@ -416,8 +453,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         for b in batches:
             rows = []
             doc, lo, doc2, lo2 = (b.column(c).to_pylist() for c in ("doc", "lo", "doc2", "lo2"))
-            for k in range(b.num_rows):
-                for s, e, s2, e2, j in verify_text(b.column("a")[k].as_py(), b.column("b")[k].as_py(), min_words, similar):
+            found = verify_texts(b.column("a").to_pylist(), b.column("b").to_pylist(), min_words, similar)
+            for k, spans in enumerate(found):
+                for s, e, s2, e2, j in spans:
                     rows.append((doc[k], lo[k] + s, lo[k] + e, doc2[k], lo2[k] + s2, lo2[k] + e2, j))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, pa.float64()), strict=True)], names)

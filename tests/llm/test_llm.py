@@ -689,6 +689,7 @@ def test_verified_passages_hold_every_equal_run():
         stock = [[b"%d" % x for x in r.integers(0, 60, n)] for n in (7, 20, 52)]
         a, b = ([w for _ in range(12) for w in (stock[r.integers(0, 3)][: r.integers(6, 60)] if r.integers(0, 4) else [b"%d" % x for x in r.integers(0, 60, 9)])] for _ in range(2))
         spans = passages.verify_pair(a, b)
+        assert next(passages.verify_texts([b" ".join(a)], [b" ".join(b)])) == spans
         theirs = {tuple(b[k : k + 50]) for k in range(len(b) - 49)}
         for k in range(len(a) - 49):
             if tuple(a[k : k + 50]) in theirs:
@@ -696,6 +697,21 @@ def test_verified_passages_hold_every_equal_run():
         assert all(e - s >= 50 and e2 - s2 >= 50 and (j < 1 or set(zip(*[a[s + x : e] for x in range(5)])) == set(zip(*[b[s2 + x : e2] for x in range(5)]))) for s, e, s2, e2, j in spans)
 
 
+def test_word_ids_find_the_passages_of_the_words():
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        base = [b"%d" % x for x in r.integers(0, 10**6, 150)]
+        a, b = list(base[: r.integers(60, 150)]), list(base[r.integers(0, 60) :])
+        for w in (a, b):
+            for _ in range(int(r.integers(0, 6))):
+                at = int(r.integers(0, len(w)))
+                w[at : at + int(r.integers(0, 3))] = [b"x%d" % r.integers(0, 10**6)] * int(r.integers(0, 2))
+        if r.integers(0, 2):
+            k = int(r.integers(1, len(a)))
+            a = a[k:] + a[:k]
+        assert next(passages.verify_texts([b" ".join(a)], [b" ".join(b)])) == passages.verify_pair(a, b), seed
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
