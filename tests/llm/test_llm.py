@@ -540,6 +540,31 @@ def test_folding_and_exceptions():
     assert lex.score("") == lex.score(None) < 0.3 and 0 <= lex.score("idiot " * 5000) <= 1
 
 
+def test_lexicon_against_brute_force():
+    import math
+
+    alphabet = ["ab", "abc", "cd", "x", "bad", "day", "out"]
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        pick = lambda n: " ".join(r.choice(alphabet, n))  # noqa: E731, B023
+        weights = {"".join(r.choice(alphabet, int(r.integers(1, 3)))): float(r.integers(1, 9)) for _ in range(5)}
+        free = tuple({pick(int(r.integers(1, 4))) for _ in range(3)} | {"ab bad", "bad day"})  # they overlap
+        lex = toxicity.Lexicon(weights, free)
+        text = pick(int(r.integers(0, 30)))
+        t = toxicity.folded(text)
+        inside = set()
+        for x in free:
+            for k in range(len(t)):
+                if (t + " ").startswith(f" {x} ", k):
+                    inside.update(range(k + 1, k + 1 + len(x)))
+        total = 0.0
+        for k in range(1, len(t)):
+            if t[k - 1] == " " and t[k] != " " and k not in inside:
+                total += max([w for e, w in weights.items() if t.startswith(e, k)], default=0.0)
+        want = 0.01 + 0.99 * (1 - math.exp(-0.35 * total / (1 + 0.1 * math.log1p(len(t) / 6)))) if total else 0.01
+        assert lex.score(text) == pytest.approx(want), (seed, text, weights, free)
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = np.random.default_rng(5)
     bad = ["grubsel", "fomikta", "idiot"]
@@ -736,3 +761,113 @@ def test_pipeline_stages(spark, sf):
     assert toxic == "passage_dedup"
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in rows} == set(plain)
+
+
+def plain_model(seqs, order, base, unseen):
+    """An interpolated modified Kneser-Ney model as a function of (context, symbol), with dicts; seqs begin with order - 1
+    starting symbols."""
+    from collections import Counter, defaultdict
+
+    counts = {order: Counter(tuple(x[k : k + order]) for x in seqs for k in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, total, free = {}, defaultdict(float), defaultdict(float)
+    for k, c in counts.items():
+        cuts[k] = kn_quality.discounts(*[sum(v == n for v in c.values()) for n in (1, 2, 3, 4)])
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            free[k, g[:-1]] += cuts[k][min(n, 3) - 1]
+    rest = base if not unseen else 1 / (unseen * len(counts[1]))
+
+    def p(context, x, k=order):
+        if not k:
+            return rest
+        context = tuple(context)[len(context) - k + 1 :] if k > 1 else ()
+        low = p(context[1:], x, k - 1)
+        if (k, context) not in total:
+            return low
+        n = counts[k].get((*context, x), 0)
+        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total[k, context] + free[k, context] / total[k, context] * low
+
+    return p
+
+
+def plain_quality(docs, labels):
+    """Ids of the documents that stay, by the same rule over plain models."""
+    import math
+
+    good = {k for k, y in labels.items() if y == 1}
+    held = {k for k in good if zlib.crc32(str(k).encode()) % kn_quality.FOLD == 0}
+    forms = {
+        "bytes": (lambda t: list((t or "").encode()), 5, 1 / 256, 0, [10] * 4, kn_quality.PRIOR, kn_quality.MARGIN),
+        "words": (lambda t: (t or "").lower().split(), 2, 0, kn_quality.UNSEEN, [None], kn_quality.WORD_PRIOR, kn_quality.WORD_MARGIN),
+    }
+    gone = set()
+    for split, order, base, unseen, lead, prior, margin in forms.values():
+        p = plain_model([[*lead, *split(t)] for k, (t, _) in docs.items() if k in good - held], order, base, unseen)
+        nll, n = {}, {}
+        for k, (t, _) in docs.items():
+            x = [*lead, *split(t)]
+            nll[k] = -sum(math.log(p(x[i - order + 1 : i], x[i])) for i in range(order - 1, len(x)))
+            n[k] = len(x) - order + 1
+        mean = {g: sum(nll[k] for k in good if docs[k][1] == g) / max(1, sum(n[k] for k in good if docs[k][1] == g)) for _, g in docs.values()}
+        over = sum(nll[k] for k in good) / sum(n[k] for k in good)
+        score = {k: (nll[k] + prior * (mean[docs[k][1]] or over)) / (n[k] + prior) for k in docs}
+        all_ = [round(score[k], 3) for k in held if n[k]]
+        for k, (_, g) in docs.items():
+            own = [round(score[x], 3) for x in held if docs[x][1] == g and n[x]]
+            limit = np.quantile(own, kn_quality.QUANTILE) if len(own) >= kn_quality.FEW else max(np.quantile(own, kn_quality.QUANTILE), np.quantile(all_, kn_quality.QUANTILE))
+            if n[k] and score[k] > limit + margin:
+                gone.add(k)
+    return set(docs) - gone
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    shared = prose(70, 999)
+    texts = [prose(90, k) for k in range(70)]
+    texts += [texts[3] + " \n", texts[3], texts[4].replace(" ", "  "), prose(40, 301) + " " + shared + " " + prose(40, 302), prose(50, 303) + "\n" + shared + " " + prose(30, 304)]
+    texts += ["$$ %% && " * 40 + "".join(chr(33 + k % 90) for k in range(300)), None, "", "  ", shared.replace(" ", "  ", 9)[:-3], texts[5] + " w1"]
+    docs = clashing(table(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise(F.col("lang"))))
+    rows = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    quality = {k: 1 for k in range(70)} | {75: 0}
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, y, 0) for k, y in quality.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    left = {k: rows[k][0] for k in plain_quality(rows, quality)}
+    assert 75 not in left and len(left) >= len(rows) - 3
+    best = {}
+    for k, t in sorted(left.items()):
+        best.setdefault(squeeze(t), []).append((-len(t or ""), k))
+    left = {min(v)[1]: rows[min(v)[1]][0] for v in best.values()}
+    fps = {k: plain_fingerprint(t) for k, t in left.items()}
+    root = {k: k for k in left}
+    for _ in left:
+        for a, b in itertools.combinations(left, 2):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4:
+                root[a] = root[b] = min(root[a], root[b])
+    left = {k: t for k, t in left.items() if root[k] == k}
+    cut = {}
+    for k in left:
+        spans = {(s, e) for j in left if j < k for s, e, *_ in passages.verify_pair((left[k] or "").lower().encode().split(), (left[j] or "").lower().encode().split())}
+        cut[k] = passages.without(left[k], list(spans)) if spans else left[k]
+    cut = {k: t for k, t in cut.items() if t == left[k] or t.strip()}
+    assert 74 in cut and shared not in cut[74] and shared in cut[73]
+    tk = Tokenizer.from_file(pt.path("byte_bpe_50k.json"))
+    ids = {k: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for k, t in cut.items()}
+    assert {r.doc_id for r in got} == set(ids)
+    for k, x in ids.items():
+        mine = sorted((r for r in got if r.doc_id == k), key=lambda r: r.start)
+        assert sum(r.length for r in mine) == len(x) == mine[0].doc_tokens
+        assert all(r.ids_crc32 == zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for r in mine)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    table(spark, []).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
