@@ -36,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
-from phrasemill.llm.common import drop_written, new_path, prepare, sized, written
+from phrasemill.llm.common import drop_written, new_path, prepare, released, sized, written
 from phrasemill.llm.passages import word_ids
 
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
-WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, COUNT_ROUNDS, HELD = 20, 0.1, 20, 12, 2, 16_000_000
+WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, COUNT_ROUNDS, ROUND_DOCS, HELD = 20, 0.1, 20, 12, 2, 20_000_000, 16_000_000
 START, COUNT = 1, 0  # a word before the first one; the key of a row with the number of words
 
 
@@ -367,7 +367,20 @@ def estimate_words(pairs: DataFrame) -> DataFrame:
     values = made[0]
     for m in made[1:]:
         values = values.unionByName(m)
-    return values
+    out = bucketed(values, "key")
+    drop_written(*made)
+    return out
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets of the key: joins by it read it as it lies, without a shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "kn-buckets")
+    name = "t" + path.rsplit("-", 1)[1]
+    with released(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def word_surprise(docs: DataFrame, values: DataFrame, rid: str = "rid", text_col: str = "text") -> DataFrame:
@@ -399,8 +412,10 @@ def word_surprise(docs: DataFrame, values: DataFrame, rid: str = "rid", text_col
 
     out = None
     lean = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
-    for k in range(ROUNDS):
-        seen = lean.where(F.pmod("rid", F.lit(ROUNDS)) == k).mapInArrow(run, "rid long, key long, n int, c int")
+    # a word that all documents have is in one task, with a row for each document of a round
+    rounds = max(ROUNDS, math.ceil(docs.count() / ROUND_DOCS))
+    for k in range(rounds):
+        seen = lean.where(F.pmod("rid", F.lit(rounds)) == k).mapInArrow(run, "rid long, key long, n int, c int")
         own = seen.join(values.hint("shuffle_hash"), "key").groupBy("rid").agg((-F.sum(F.col("n") * F.col("predicted").cast("double") + F.col("c") * F.col("context").cast("double"))).alias("word_nll"), F.sum(F.when(F.col("key") == COUNT, F.col("n"))).alias("n_words"))
         own = written(own, "kn-word-sums")
         out = own if out is None else out.unionByName(own)

@@ -318,6 +318,8 @@ def verify_pair(a: list[bytes], b: list[bytes], min_words: int = MIN_WORDS, simi
     at: dict[tuple, list[int]] = {}
     for k, x in enumerate(sb):
         at.setdefault(x, []).append(k)
+    if sum(x in at for x in sa) < similar * (min_words - SHINGLE + 1):
+        return []  # a passage shares as many shingles
     chains: list[list[tuple[int, int, int]]] = [[]]  # (start, length, start in b)
     k = shift = 0
     while k < len(sa):
@@ -365,6 +367,8 @@ def verify_ids(x: np.ndarray, y: np.ndarray, min_words: int = MIN_WORDS, similar
         return None
     at = np.minimum(np.searchsorted(known, sx), len(known) - 1)
     place = np.where(known[at] == sx, order[at], -1)
+    if np.count_nonzero(place >= 0) < similar * (min_words - SHINGLE + 1):
+        return []  # a passage shares as many shingles
     edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (place[:-1] < 0)])
     edge = edge[place[edge] >= 0]
     if not len(edge):
