@@ -345,7 +345,7 @@ def _cut(n: Column, d: tuple[float, float, float]) -> Column:
 
 def estimate_words(pairs: DataFrame) -> DataFrame:
     """The word model (key, predicted, context) of the counts (a, b, n); the row of key COUNT has the log probability of
-    an unseen word. The sum of what a text's words and pairs have is its log probability."""
+    an unseen word. The sum of what a text's words and pairs have is its log probability. The table of pairs is deleted."""
     few = lambda df: discounts(*df.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first())
     ones = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "kn-words")
     d2, d1 = few(pairs), few(ones)
@@ -367,6 +367,7 @@ def estimate_words(pairs: DataFrame) -> DataFrame:
     values = made[0]
     for m in made[1:]:
         values = values.unionByName(m)
+    drop_written(pairs)
     out = bucketed(values, "key")
     drop_written(*made)
     return out
@@ -431,9 +432,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     made = store(estimate(top, order), order)
     pairs = count_pairs(text)
-    values = estimate_words(pairs) if not pairs.isEmpty() else None
-    drop_written(pairs)
-    return made, values
+    return made, None if pairs.isEmpty() else estimate_words(pairs)
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
