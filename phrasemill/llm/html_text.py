@@ -58,7 +58,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # scripts that say a word in a letter or two
-_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+_OTHER = re.compile("[^\\W\\d_A-Za-z\u00c0-\u024f]")  # letters that aren't Latin
 OPEN, GOOD, BAD = 0, 1, -1
 SHORT, LOW, HIGH, LINKS = 70, 0.15, 0.30, 0.33
 
@@ -180,9 +180,13 @@ def labels_of(blocks: list[Block]) -> list[int]:
     # in a language without a list, no long block has its words
     listed = any(d >= LOW for d, b in zip(densities, blocks, strict=True) if len(b.text) >= SHORT) or not any(len(b.text) >= SHORT and not b.boiler and b.linked / len(b.text) <= LINKS for b in blocks)
     for b, density in zip(blocks, densities, strict=True):
-        size = len(b.text) + 2 * len(_DENSE.findall(b.text))
-        if not listed or 2 * len(_LATIN.findall(b.text)) < sum(map(str.isalpha, b.text)):
+        size = len(b.text)
+        if not listed:
             density = HIGH  # unknown: length decides
+        if not b.text.isascii() and (other := len(_OTHER.findall(b.text))):
+            size += 2 * len(_DENSE.findall(b.text))
+            if 2 * other > sum(map(len, _LETTERS.findall(b.text))):
+                density = HIGH
         if b.boiler or any_home and not b.home or b.linked / len(b.text) > LINKS:
             first.append(BAD)
         elif b.home:
