@@ -687,6 +687,47 @@ def test_passages_find_near_copies(spark):
     assert found == {(2 * k + 1, 2 * k) for k in range(n)}
 
 
+def test_passages_link_pairs_whose_windows_come_first_in_others(spark):
+    """Pieces of each passage, too short to count, are in many documents of smaller ids, which are first in its groups."""
+    r = np.random.default_rng(43)
+    foreign = lambda n: [f"a{x}" for x in r.integers(0, 10**6, n)]
+    shared = [[f"p{x}" for x in r.integers(0, 10**6, 60)] for _ in range(40)]
+    texts = [" ".join([*foreign(60), *p[at : at + 30], *foreign(60)]) for p in shared for at in (0, 6, 12, 18, 24, 30) for _ in range(8)]
+    pairs = {}
+    for p in shared:
+        for w in (p, [*p[:30], "changed", *p[31:]]):
+            texts.append(" ".join([*foreign(40), *w, *foreign(40)]))
+        pairs[len(texts) - 1] = len(texts) - 2
+    rows = passages.passages(table(spark, texts)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == set(pairs.items())
+
+
+def test_windows_of_every_pair_are_linked_or_have_a_way():
+    """Windows of a key have a way over links if a block or a whole passage is equal; in a small key, all have."""
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(2, 60))
+        w = np.zeros(n, passages.WINDOW)
+        w["key"], w["doc"], w["c"] = 3, r.integers(0, 40, n), r.integers(0, 99, n)
+        for f in ("left", "right"):
+            w[f] = r.integers(0, 9, n)
+        w["whole"] = r.integers(0, 8 * n, (n, passages.ALIGNED))
+        way = list(range(40))
+
+        def top(x, way=way):
+            while way[x] != x:
+                x = way[x]
+            return x
+
+        for links in passages.linked(w):
+            for d, d2, *_ in links.tolist():
+                assert d > d2
+                way[top(d)] = top(d2)
+        for i, j in itertools.combinations(range(n), 2):
+            same = [w[f][i] == w[f][j] > 0 for f in ("left", "right")] + [x == y > 0 for x, y in zip(w["whole"][i], w["whole"][j], strict=True)]
+            assert top(w["doc"][i]) == top(w["doc"][j]) or (n > passages.FEW and not any(same))
+
+
 def test_links_to_another_place_do_not_cut_regions():
     import pandas as pd
 
