@@ -702,6 +702,21 @@ def test_passages_link_pairs_whose_windows_come_first_in_others(spark):
     assert {(r.doc_id, r.other_id) for r in rows} == set(pairs.items())
 
 
+def test_packed_records_come_back():
+    for n in (0, 1, 50):
+        r = np.random.default_rng(n)
+        x = np.zeros(n, passages.LINK)
+        for f in x.dtype.names:
+            x[f] = r.integers(-9, 9, n)
+        b = passages.packed(x, (x["doc"] % 5).astype(np.int32))
+        assert b.column("part").to_pylist() == sorted({int(d) % 5 for d in x["doc"]})
+        assert sorted(passages.unpacked([b], x.dtype).tolist()) == sorted(x.tolist())
+
+
+def test_passages_of_short_texts_alone(spark):
+    assert passages.passages(table(spark, ["a b", None, prose(20, 1)])).count() == 0
+
+
 def test_windows_of_every_pair_are_linked_or_have_a_way():
     """Windows of a key have a way over links if a block or a whole passage is equal; in a small key, all have."""
     for seed in range(60):
