@@ -2,9 +2,9 @@
 
 Words: pairs of neighbouring words are counted in all trusted texts; a word's own count is the number of words that it
 follows. A log probability is a sum over what a position has: the word, the word before as a context, and the pair if it
-was seen. So the model is one table key -> (value as predicted, value as context), sharded by key, and the perplexity of
-all documents is one join of their distinct words and pairs with it and a sum per document, done for a share of the
-documents after the other (`ROUNDS`). No worker holds the model, and nothing is gathered by the driver.
+was seen. So the model is one table key -> (value as predicted, value as context), in parts by the rest of the key. The distinct
+words and pairs of all documents go packed to the worker of their part, which reads it, and the sums packed to that of their
+document, for a share of the documents after the other (`ROUNDS`). No worker holds the model, and the driver gathers nothing.
 
 Bytes: counts of the highest order are combined per task, then summed by key; lower orders count distinct left extensions;
 contexts are aggregated and joined back by key. N-grams of a few bytes saturate, so this model stays small; it is written
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
 from phrasemill.llm.common import drop_written, new_path, prepare, released, sized, written
-from phrasemill.llm.passages import word_ids
+from phrasemill.llm.passages import packed, unpacked, word_ids
 
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
@@ -343,9 +344,10 @@ def _cut(n: Column, d: tuple[float, float, float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def estimate_words(pairs: DataFrame) -> DataFrame:
+def estimate_words(pairs: DataFrame) -> tuple[str, int]:
     """The word model (key, predicted, context) of the counts (a, b, n); the row of key COUNT has the log probability of
-    an unseen word. The sum of what a text's words and pairs have is its log probability. The table of pairs is deleted."""
+    an unseen word. The sum of what a text's words and pairs have is its log probability. (path, number of parts by the rest of
+    the key). The tables of pairs are deleted, each when it was read."""
     few = lambda df: discounts(*df.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first())
     ones = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "kn-words")
     d2, d1 = few(pairs), few(ones)
@@ -358,39 +360,51 @@ def estimate_words(pairs: DataFrame) -> DataFrame:
     floor = math.log(rest)
     out = single.select(F.xxhash64("w").alias("key"), F.coalesce(F.col("p") - floor, F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("left", F.lit(0.0)).cast("float").alias("context"))
     out = out.unionByName(pairs.sparkSession.createDataFrame([(COUNT, floor, 0.0)], "key long, predicted float, context float"))
-    made = [written(out, "kn-values")]
-    for k in range(4):
-        own = pairs.where(F.pmod("b", F.lit(4)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
-        p = (F.col("n") - _cut(F.col("n"), d2)) / F.col("t") + F.exp(F.col("left") + F.col("p"))
-        made.append(written(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context")), "kn-values"))
+    made = new_path(pairs.sparkSession, "kn-values")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _append(out, made, parts)
+    for folder in sorted({f.rsplit("/", 1)[0] for f in pairs.inputFiles()}):
+        share = pairs.sparkSession.read.schema(pairs.schema).parquet(folder)
+        for k in range(2):
+            own = share.where(F.pmod(F.xxhash64("b"), F.lit(2)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
+            p = (F.col("n") - _cut(F.col("n"), d2)) / F.col("t") + F.exp(F.col("left") + F.col("p"))
+            _append(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context")), made, parts)
+        drop_written(share)
     drop_written(ones, contexts)
-    values = made[0]
-    for m in made[1:]:
-        values = values.unionByName(m)
-    drop_written(pairs)
-    out = bucketed(values, "key")
-    drop_written(*made)
-    return out
+    return made, parts
+
+
+def _append(values: DataFrame, path: str, parts: int) -> None:
+    """Add values to the word model at path, which lies in parts by the rest of the key, each file by key."""
+    with released(values.sparkSession):
+        placed = values.withColumn("part", F.pmod("key", F.lit(parts)).cast("int")).repartitionById(parts, "part")
+        placed.sortWithinPartitions("part", "key").write.mode("append").partitionBy("part").parquet(path)
+
+
+def _values(path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, predicted, context) of a part, by key."""
+    base, root = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in base.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True, recursive=True)) if f.path.endswith(".parquet"))
+    tables = [pq.ParquetFile(base.open_input_file(f)).read() for f in files]
+    key, predicted, context = (np.concatenate([np.zeros(0, kind), *[t.column(c).to_numpy() for t in tables]]) for c, kind in (("key", np.int64), ("predicted", np.float32), ("context", np.float32)))
+    order = np.argsort(key, kind="stable")
+    return key[order], predicted[order], context[order]
+
 
+SEEN = np.dtype([("rid", "<i8"), ("key", "<i8"), ("n", "<i4"), ("c", "<i4")])
+SUMS = np.dtype([("rid", "<i8"), ("nll", "<f8"), ("n", "<i8")])
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df as a table in the shared folder, in buckets of the key: joins by it read it as it lies, without a shuffle."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, "kn-buckets")
-    name = "t" + path.rsplit("-", 1)[1]
-    with released(spark):
-        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
 
+def word_surprise(docs: DataFrame, model: tuple[str, int], rid: str = "rid", text_col: str = "text") -> DataFrame:
+    """(rid, word_nll, n_words): the sum of -log probabilities of the words of the rows with this rid; no row without words.
 
-def word_surprise(docs: DataFrame, values: DataFrame, rid: str = "rid", text_col: str = "text") -> DataFrame:
-    """(rid, word_nll, n_words): the sum of -log probabilities of the words of the rows with this rid; no row without words."""
+    Words and pairs go to the part of the model that has their keys, and sums back to their documents, packed.
+    """
     prepare(docs.sparkSession)
-    names = ["rid", "key", "n", "c"]
+    path, parts = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _merged(batches, PART):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, texts in parts_of(b.column(1), PART):
                 before, own, n = pairs_of(texts)
@@ -398,32 +412,72 @@ def word_surprise(docs: DataFrame, values: DataFrame, rid: str = "rid", text_col
                     continue
                 row = np.repeat(np.arange(len(texts)), n)
                 some = np.flatnonzero(n)
-                one = np.ones(len(own), np.int32)
+                size = len(own)
                 rows = np.r_[row, row, row, some]
                 keys = np.r_[hashed(own), hashed(before), hashed(before, own), np.full(len(some), COUNT)]
-                pred = np.r_[one, 0 * one, one, n[some].astype(np.int32)]
-                ctx = np.r_[0 * one, one, 0 * one, np.zeros(len(some), np.int32)]
-                o = np.lexsort((keys, rows))
-                rows, keys, pred, ctx = rows[o], keys[o], pred[o], ctx[o]
+                part = keys % parts
+                # keys that are equal here by chance are not joined, which does no harm
+                near = (part.astype(np.uint64) << np.uint64(52)) | ((rows.astype(np.uint64) & np.uint64((1 << 20) - 1)) << np.uint64(32)) | (keys.view(np.uint64) >> np.uint64(32))
+                o = np.argsort(near)
+                rows, keys, part = rows[o], keys[o], part[o]
                 at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])])
-                pred, ctx = np.add.reduceat(pred, at), np.add.reduceat(ctx, at)
-                rows, keys = ids[lo + rows[at]], keys[at]
-                for k in range(0, len(at), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (rows, keys, pred.astype(np.int32), ctx.astype(np.int32))], names)
+                out = np.zeros(len(at), SEEN)
+                out["rid"], out["key"] = ids[lo + rows[at]], keys[at]
+                pred = np.r_[np.ones(size, np.int32), np.zeros(size, np.int32), np.ones(size, np.int32), n[some].astype(np.int32)]
+                ctx = np.zeros(len(keys), np.int32)
+                ctx[size : 2 * size] = 1
+                out["n"], out["c"] = np.add.reduceat(pred[o], at), np.add.reduceat(ctx[o], at)
+                yield packed(out, part[at].astype(np.int32))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}  # a task has one part
+        for b in batches:
+            for part in np.unique(b.column("part").to_numpy()).tolist():
+                held.setdefault(part, []).append(b.filter(pc.equal(b.column("part"), part)))
+        for part, own in held.items():
+            yield from score(part, own)
+
+    def score(part: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = unpacked(iter(batches), SEEN)
+        key, predicted, context = _values(path, part)
+        if not len(key):
+            return
+        at = np.minimum(np.searchsorted(key, seen["key"]), len(key) - 1)
+        known = key[at] == seen["key"]
+        seen, at = seen[known], at[known]
+        nll = -(seen["n"] * predicted[at].astype(np.float64) + seen["c"] * context[at].astype(np.float64))
+        count = np.where(seen["key"] == COUNT, seen["n"], 0)
+        yield packed(out := _sums(seen["rid"], nll, count), (out["rid"] % parts).astype(np.int32))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = unpacked(batches, SUMS)
+        x = _sums(x["rid"], x["nll"], x["n"])
+        for lo in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[f][lo : lo + 100_000])) for f in SUMS.names], ["rid", "word_nll", "n_words"])
 
     out = None
     lean = docs.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
-    # a word that all documents have is in one task, with a row for each document of a round
     rounds = max(ROUNDS, math.ceil(docs.count() / ROUND_DOCS))
     for k in range(rounds):
-        seen = lean.where(F.pmod("rid", F.lit(rounds)) == k).mapInArrow(run, "rid long, key long, n int, c int")
-        own = seen.join(values.hint("shuffle_hash"), "key").groupBy("rid").agg((-F.sum(F.col("n") * F.col("predicted").cast("double") + F.col("c") * F.col("context").cast("double"))).alias("word_nll"), F.sum(F.when(F.col("key") == COUNT, F.col("n"))).alias("n_words"))
+        seen = lean.where(F.pmod("rid", F.lit(rounds)) == k).mapInArrow(run, "part int, data binary").repartitionById(parts, "part")
+        own = seen.mapInArrow(look, "part int, data binary").repartitionById(parts, "part").mapInArrow(total, "rid long, word_nll double, n_words long")
         own = written(own, "kn-word-sums")
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", order: int = ORDER) -> tuple[tuple[str, int], DataFrame] | None:
+def _sums(rid: np.ndarray, nll: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums by rid, added in the order of the values, so that they don't depend on that of the rows."""
+    order = np.lexsort((nll, rid))
+    rid = rid[order]
+    at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]]) if len(rid) else np.zeros(0, np.int64)
+    out = np.zeros(len(at), SUMS)
+    if len(at):
+        out["rid"], out["nll"], out["n"] = rid[at], np.add.reduceat(nll[order], at), np.add.reduceat(n[order], at)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", order: int = ORDER) -> tuple[tuple[str, int], tuple[str, int] | None] | None:
     """(byte model, word model) of the trusted texts; None without any."""
     trusted = written(trusted_ids(labels, id_col, label_col).where("not calibrates").select("id"), "kn-trusted")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(trusted, trusted.count()), "id", "left_semi").select("text")

@@ -420,6 +420,19 @@ def test_word_model_against_brute_force(spark):
     assert 7 not in got
 
 
+def test_word_model_lies_in_parts_and_leaves_no_pairs(spark):
+    import os
+
+    texts = [prose(90, s) for s in range(6)]
+    pairs = kn_quality.count_pairs(table(spark, texts))
+    want = pairs.count() + len({w for t in texts for w in t.split()} | {""}) + 1  # with the start and the number of words
+    files = [f.replace("file://", "") for f in pairs.inputFiles()]
+    path, parts = kn_quality.estimate_words(pairs)
+    keys = [kn_quality._values(path, k)[0] for k in range(parts)]
+    assert not any(map(os.path.exists, files)) and sum(map(len, keys)) == want
+    assert all((x % parts == k).all() and (np.diff(x) > 0).all() for k, x in enumerate(keys))
+
+
 def test_quality_of_many_languages_and_repeated_rows(spark, monkeypatch):
     from pyspark.sql import functions as F
 
