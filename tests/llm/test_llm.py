@@ -806,6 +806,26 @@ def test_word_ids_find_the_passages_of_the_words():
         assert next(passages.verify_texts([b" ".join(a)], [b" ".join(b)])) == passages.verify_pair(a, b), seed
 
 
+def test_regions_are_compared_by_ids_only(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [[b"%d" % x for x in r.integers(0, 10**6, 200)] for _ in range(4)]
+    texts[1][40:110] = texts[0][60:130]
+    texts[2] = texts[0][:70] * 2 + texts[2]  # shingles that repeat
+    texts += [[b"w"] * 80, texts[0][:49], [], texts[0][:60]]
+    pairs = [(a, b) for a in texts for b in texts]
+    want = [passages.verify_pair(a, b) for a, b in pairs]
+    asked = []
+    by_ids = passages.verify_ids
+    monkeypatch.setattr(passages, "verify_pair", None)
+    monkeypatch.setattr(passages, "verify_ids", lambda *x: asked.append(x) or by_ids(*x))
+    for size in (passages.BYTES, 1):
+        monkeypatch.setattr(passages, "BYTES", size)
+        asked.clear()
+        got = list(passages.verify_texts(*([b" ".join(x[k]) for x in pairs] for k in range(2))))
+        assert got == want and sum(map(bool, want)) <= len(asked) < sum(len(a) > 49 < len(b) for a, b in pairs)
+    assert list(passages.verify_texts([], [])) == [] and list(passages.verify_texts([b""], [b""])) == [[]]
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
