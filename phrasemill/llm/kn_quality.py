@@ -2,8 +2,9 @@
 
 Words: pairs of neighbouring words are counted in all trusted texts; a word's own count is the number of words that it
 follows. A log probability is a sum over what a position has: the word, the word before as a context, and the pair if it
-was seen. So the model is one table key -> (value as predicted, value as context), in parts by the rest of the key. The distinct
-words and pairs of all documents go packed to the worker of their part, which reads it, and the sums packed to that of their
+was seen. So the model is one table key -> (value as predicted, value as context), in parts by the rest of the key. At most
+`FREQUENT` keys of the highest counts are also in a table that every worker holds and looks in first. The distinct other words
+and pairs of all documents go packed to the worker of their part, which reads it, and the sums packed to that of their
 document, for a share of the documents after the other (`ROUNDS`). No worker holds the model, and the driver gathers nothing.
 
 Bytes: counts of the highest order are combined per task, then summed by key; lower orders count distinct left extensions;
@@ -33,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.llm.bpe import parts_of
@@ -43,6 +44,7 @@ from phrasemill.llm.passages import packed, unpacked, word_ids
 ORDER, PRIOR, FOLD, QUANTILE, MARGIN, FEW, SHARD_ROWS = 5, 200, 8, 0.995, 0.05, 50, 3_000_000
 PART = 2_000_000
 WORD_PRIOR, WORD_MARGIN, UNSEEN, ROUNDS, COUNT_ROUNDS, ROUND_DOCS, HELD = 20, 0.1, 20, 12, 2, 20_000_000, 16_000_000
+FREQUENT, STEPS = 500_000, 8  # keys that every worker holds; steps of their counts for each power of two
 START, COUNT = 1, 0  # a word before the first one; the key of a row with the number of words
 
 
@@ -347,7 +349,7 @@ def _cut(n: Column, d: tuple[float, float, float]) -> Column:
 def estimate_words(pairs: DataFrame) -> tuple[str, int]:
     """The word model (key, predicted, context) of the counts (a, b, n); the row of key COUNT has the log probability of
     an unseen word. The sum of what a text's words and pairs have is its log probability. (path, number of parts by the rest of
-    the key). The tables of pairs are deleted, each when it was read."""
+    the key); in part -1 are copies of the most frequent keys. The tables of pairs are deleted, each when it was read."""
     few = lambda df: discounts(*df.agg(*[F.count_if(F.col("n") == c) for c in (1, 2, 3, 4)]).first())
     ones = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "kn-words")
     d2, d1 = few(pairs), few(ones)
@@ -356,10 +358,10 @@ def estimate_words(pairs: DataFrame) -> tuple[str, int]:
     words = ones.select("b", F.log((F.col("n") - _cut(F.col("n"), d1)) / total["n"] + rest).alias("p"))
     contexts = pairs.groupBy("a").agg(F.sum("n").alias("t"), F.sum(_cut(F.col("n"), d2)).alias("free"))
     contexts = written(contexts.select("a", "t", F.log(F.col("free") / F.col("t")).alias("left")), "kn-contexts")
-    single = words.withColumnRenamed("b", "w").join(contexts.select(F.col("a").alias("w"), "left"), "w", "full")
+    single = words.withColumnRenamed("b", "w").join(contexts.select(F.col("a").alias("w"), "left", "t"), "w", "full")
     floor = math.log(rest)
-    out = single.select(F.xxhash64("w").alias("key"), F.coalesce(F.col("p") - floor, F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("left", F.lit(0.0)).cast("float").alias("context"))
-    out = out.unionByName(pairs.sparkSession.createDataFrame([(COUNT, floor, 0.0)], "key long, predicted float, context float"))
+    out = single.select(F.xxhash64("w").alias("key"), F.coalesce(F.col("p") - floor, F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("left", F.lit(0.0)).cast("float").alias("context"), F.coalesce("t", F.lit(0)).alias("n"))
+    out = out.unionByName(pairs.sparkSession.createDataFrame([(COUNT, floor, 0.0, 2**62)], "key long, predicted float, context float, n long"))
     made = new_path(pairs.sparkSession, "kn-values")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     _append(out, made, parts)
@@ -368,12 +370,27 @@ def estimate_words(pairs: DataFrame) -> tuple[str, int]:
         for k in range(2):
             own = share.where(F.pmod(F.xxhash64("b"), F.lit(2)) == k).join(contexts.hint("shuffle_hash"), "a").join(words.hint("shuffle_hash"), "b")
             p = (F.col("n") - _cut(F.col("n"), d2)) / F.col("t") + F.exp(F.col("left") + F.col("p"))
-            _append(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context")), made, parts)
+            _append(own.select(F.xxhash64("a", "b").alias("key"), (F.log(p) - F.col("left") - F.col("p")).cast("float").alias("predicted"), F.lit(0.0).cast("float").alias("context"), "n"), made, parts)
         drop_written(share)
     drop_written(ones, contexts)
+    _copy_frequent(pairs.sparkSession, made)
     return made, parts
 
 
+def _copy_frequent(spark: SparkSession, path: str) -> None:
+    """Copy the keys of the highest counts, at most FREQUENT and COUNT, to part -1 of the word model."""
+    values = spark.read.schema("key long, predicted float, context float, n long").parquet(path)
+    values = values.withColumn("step", F.floor(F.log2(F.greatest("n", F.lit(1))) * STEPS))
+    kept, least = 0, 62 * STEPS
+    for step, n in values.groupBy("step").count().orderBy(F.desc("step")).collect():  # of which there are few
+        kept += n
+        if kept > FREQUENT:
+            break
+        least = step
+    with released(spark):
+        values.where(F.col("step") >= least).drop("step").repartition(1).write.parquet(f"{path}/part=-1")
+
+
 def _append(values: DataFrame, path: str, parts: int) -> None:
     """Add values to the word model at path, which lies in parts by the rest of the key, each file by key."""
     with released(values.sparkSession):
@@ -385,20 +402,34 @@ def _values(path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, predicted, context) of a part, by key."""
     base, root = fs.FileSystem.from_uri(path)
     files = sorted(f.path for f in base.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True, recursive=True)) if f.path.endswith(".parquet"))
-    tables = [pq.ParquetFile(base.open_input_file(f)).read() for f in files]
+    tables = [pq.ParquetFile(base.open_input_file(f)).read(["key", "predicted", "context"]) for f in files]
     key, predicted, context = (np.concatenate([np.zeros(0, kind), *[t.column(c).to_numpy() for t in tables]]) for c, kind in (("key", np.int64), ("predicted", np.float32), ("context", np.float32)))
     order = np.argsort(key, kind="stable")
     return key[order], predicted[order], context[order]
 
 
 SEEN = np.dtype([("rid", "<i8"), ("key", "<i8"), ("n", "<i4"), ("c", "<i4")])
+LOCAL = -1  # c of a record with what a document has in the frequent keys: its bits of nll as key, and its number of words
 SUMS = np.dtype([("rid", "<i8"), ("nll", "<f8"), ("n", "<i8")])
 
 
+_frequent: dict[str, tuple[Table, np.ndarray, np.ndarray]] = {}
+
+
+def frequent(path: str) -> tuple[Table, np.ndarray, np.ndarray]:
+    """(place by key, predicted, context) of the frequent keys of one model at a time."""
+    if path not in _frequent:
+        _frequent.clear()
+        key, predicted, context = _values(path, -1)
+        _frequent[path] = Table(key, np.arange(len(key))), predicted, context
+    return _frequent[path]
+
+
 def word_surprise(docs: DataFrame, model: tuple[str, int], rid: str = "rid", text_col: str = "text") -> DataFrame:
     """(rid, word_nll, n_words): the sum of -log probabilities of the words of the rows with this rid; no row without words.
 
-    Words and pairs go to the part of the model that has their keys, and sums back to their documents, packed.
+    Frequent words and pairs are looked up at once; others go to the part of the model that has their keys, and sums back to
+    their documents, packed.
     """
     prepare(docs.sparkSession)
     path, parts = model
@@ -412,22 +443,35 @@ def word_surprise(docs: DataFrame, model: tuple[str, int], rid: str = "rid", tex
                     continue
                 row = np.repeat(np.arange(len(texts)), n)
                 some = np.flatnonzero(n)
-                size = len(own)
-                rows = np.r_[row, row, row, some]
-                keys = np.r_[hashed(own), hashed(before), hashed(before, own), np.full(len(some), COUNT)]
+                table, predicted, context = frequent(path)
+                word, pair = hashed(np.r_[np.int64(START), own]), hashed(before, own)
+                back = np.arange(len(own))  # of the word before, after that at START
+                back[(np.cumsum(n) - n)[some]] = 0
+                at, known = table.get(word)
+                at2, known2 = table.get(pair)
+                at, at2 = at.astype(np.int64), at2.astype(np.int64)
+                value = np.where(known[1:], predicted[at[1:]].astype(np.float64), 0) + np.where(known[back], context[at[back]], 0) + np.where(known2, predicted[at2], 0)
+                floor = predicted[int(table.get(np.array([COUNT]))[0][0])].astype(np.float64)
+                local = np.zeros(len(some), SEEN)
+                local["rid"], local["n"], local["c"] = ids[lo + some], n[some], LOCAL
+                local["key"] = (-np.bincount(row, value, len(texts))[some] - floor * n[some]).view(np.int64)
+                rare, rare_back, rare2 = ~known[1:], ~known[back], ~known2
+                rows = np.r_[row[rare], row[rare_back], row[rare2]]
+                keys = np.r_[word[1:][rare], word[back][rare_back], pair[rare2]]
+                pred = np.ones(len(keys), np.int32)
+                pred[np.count_nonzero(rare) : len(keys) - np.count_nonzero(rare2)] = 0
                 part = keys % parts
                 # keys that are equal here by chance are not joined, which does no harm
                 near = (part.astype(np.uint64) << np.uint64(52)) | ((rows.astype(np.uint64) & np.uint64((1 << 20) - 1)) << np.uint64(32)) | (keys.view(np.uint64) >> np.uint64(32))
                 o = np.argsort(near)
-                rows, keys, part = rows[o], keys[o], part[o]
-                at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])])
+                rows, keys, part, pred = rows[o], keys[o], part[o], pred[o]
+                at = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, np.int64)
                 out = np.zeros(len(at), SEEN)
                 out["rid"], out["key"] = ids[lo + rows[at]], keys[at]
-                pred = np.r_[np.ones(size, np.int32), np.zeros(size, np.int32), np.ones(size, np.int32), n[some].astype(np.int32)]
-                ctx = np.zeros(len(keys), np.int32)
-                ctx[size : 2 * size] = 1
-                out["n"], out["c"] = np.add.reduceat(pred[o], at), np.add.reduceat(ctx[o], at)
-                yield packed(out, part[at].astype(np.int32))
+                if len(at):
+                    out["n"] = np.add.reduceat(pred, at)
+                    out["c"] = np.diff(np.r_[at, len(keys)]) - out["n"]
+                yield packed(np.r_[out, local], np.r_[part[at], local["rid"] % parts].astype(np.int32))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}  # a task has one part
@@ -439,15 +483,17 @@ def word_surprise(docs: DataFrame, model: tuple[str, int], rid: str = "rid", tex
 
     def score(part: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = unpacked(iter(batches), SEEN)
+        here = seen["c"] == LOCAL
+        local, seen = seen[here], seen[~here]
         key, predicted, context = _values(path, part)
         if not len(key):
-            return
+            key, predicted, context = np.zeros(1, np.int64), np.zeros(1, np.float32), np.zeros(1, np.float32)
         at = np.minimum(np.searchsorted(key, seen["key"]), len(key) - 1)
         known = key[at] == seen["key"]
         seen, at = seen[known], at[known]
         nll = -(seen["n"] * predicted[at].astype(np.float64) + seen["c"] * context[at].astype(np.float64))
-        count = np.where(seen["key"] == COUNT, seen["n"], 0)
-        yield packed(out := _sums(seen["rid"], nll, count), (out["rid"] % parts).astype(np.int32))
+        nll, count = np.r_[nll, local["key"].copy().view(np.float64)], np.r_[np.zeros(len(seen), np.int64), local["n"]]
+        yield packed(out := _sums(np.r_[seen["rid"], local["rid"]], nll, count), (out["rid"] % parts).astype(np.int32))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = unpacked(batches, SUMS)

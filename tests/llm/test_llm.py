@@ -433,6 +433,25 @@ def test_word_model_lies_in_parts_and_leaves_no_pairs(spark):
     assert all((x % parts == k).all() and (np.diff(x) > 0).all() for k, x in enumerate(keys))
 
 
+def test_frequent_words_are_looked_up_where_the_document_is(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [prose(90, s) + " the end of the" for s in range(12)]
+    docs = table(spark, [*texts, "never seen", "the", None]).withColumn("rid", F.col("doc_id"))
+    got = []
+    for most in (0, 8, 10**6):
+        monkeypatch.setattr(kn_quality, "FREQUENT", most)
+        model = kn_quality.estimate_words(kn_quality.count_pairs(table(spark, texts)))
+        keys = kn_quality._values(model[0], -1)[0]
+        assert kn_quality.COUNT in keys and len(keys) <= most + 1 and (len(keys) > 1) == (most > 0)
+        every = np.concatenate([kn_quality._values(model[0], k)[0] for k in range(model[1])])
+        assert np.isin(keys, every).all() and (most < 10**6 or len(keys) == len(every))
+        got.append({r.rid: (r.word_nll, r.n_words) for r in kn_quality.word_surprise(docs, model).collect()})
+    assert len(got[0]) == 14 and got[0][12][1] == 2
+    for other in got[1:]:
+        assert {k: (pytest.approx(x, rel=1e-9), n) for k, (x, n) in other.items()} == got[0]
+
+
 def test_quality_of_many_languages_and_repeated_rows(spark, monkeypatch):
     from pyspark.sql import functions as F
 
