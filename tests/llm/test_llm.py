@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from phrasemill.llm import bpe, exact_dedup, html_text, kn_quality, license_scan, packing, passages, simhash, topk, toxicity
+from phrasemill.llm import bpe, entry, exact_dedup, html_text, kn_quality, license_scan, packing, passages, simhash, topk, toxicity
 from phrasemill.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -845,6 +845,58 @@ def test_regions_are_compared_by_ids_only(monkeypatch):
     assert list(passages.verify_texts([], [])) == [] and list(passages.verify_texts([b""], [b""])) == [[]]
 
 
+def test_stretches_in_which_enough_is_seen():
+    for seed in range(300):
+        r = np.random.default_rng(seed)
+        sizes = r.integers(0, 30, 6)
+        seen = r.random(int(sizes.sum())) < r.choice([0.5, 0.7, 0.9])
+        want, at = [], 0
+        for n in sizes.tolist():
+            own = seen[at : at + n]
+            want.append(any(10 * own[i:j].sum() >= 8 * (j - i) for i in range(n) for j in range(i + 8, n + 1)))
+            at += n
+        assert passages.dense(seen, sizes, 8, 0.8).tolist() == want
+
+
+def test_shared_shingles_that_lie_apart_are_left_at_once(monkeypatch):
+    """Two regions that share 200 shingles, but only 20 words in a row: no passage, and not looked at one by one."""
+    r = np.random.default_rng(3)
+    foreign = lambda n: [b"a%d" % x for x in r.integers(0, 10**9, n)]
+    shared = [foreign(20) for _ in range(14)]
+    a, b = (b" ".join(w for x in shared for w in [*x, *foreign(20)]) for _ in range(2))
+    near = [*shared[0], *shared[1], b"changed", *shared[2]]
+    asked = []
+    by_ids = passages.verify_ids
+    monkeypatch.setattr(passages, "verify_ids", lambda *x: asked.append(x) or by_ids(*x))
+    ids = lambda t: passages.word_ids([t])[0].tobytes()
+    pairs = [(a, b), (b" ".join([*foreign(5), *near, *foreign(9)]), b" ".join([*shared[0], *shared[1], *shared[2]]))]
+    got = list(passages.verify_texts(*([ids(x[k]) for x in pairs] for k in range(2)), ids_of=passages.stored_ids))
+    assert got == [passages.verify_pair(x.split(), y.split()) for x, y in pairs] and got[0] == [] and got[1]
+    assert len(asked) == 1
+
+
+def test_classes_of_near_copies_have_a_row_for_each_region(spark):
+    """Rows grow with the documents, not with their pairs; every passage that has a link is in its class."""
+    docs = table(spark, [*edited_copies(70, 4), *near_copies(5), "x", None])
+    linked, of = passages._classed(passages.repeats(docs))
+    class_of, firsts = {}, {}
+    for r in of.collect():
+        class_of[r.d, r.r] = r.component
+        firsts[r.component] = min(firsts.get(r.component, (r.d, r.r)), (r.d, r.r))
+    rows = passages.members(docs).collect()
+    got = {(r.doc_id, r.start): (r.class_id, r.class_start) for r in rows}
+    assert len(rows) == len(got) < linked.count()
+    assert got == {k: firsts[c] for k, c in class_of.items() if k != firsts[c]}
+    assert sum(r.links for r in rows) >= linked.count() and all(r.end - r.start >= 50 and r.other_id != r.doc_id and r.similarity >= 0.8 for r in rows)
+    assert passages.members(table(spark, []).limit(0)).count() == 0
+
+
+def test_passages_query_gives_members(spark, sf):
+    rows = entry.op8_passages(spark, sf).collect()
+    keys = {(r.doc_id, r.start) for r in rows}
+    assert rows and len(keys) == len(rows) and not keys & {(r.class_id, r.class_start) for r in rows}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
