@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.model import small
 
 def contiguous(sents: DataFrame, cands: DataFrame, gaps: int = 0) -> DataFrame:
     """(doc_id, sent, cand_id, places): occurrences of candidates (cand_id, lemmas) from every token on, with at most `gaps`
-    other words within. An equi-join on the first lemma; the rest is checked by a fold that prefers matches to gaps."""
+    other words within. An equi-join on the first lemma, in the row if there are few candidates; the rest is checked by a
+    fold that prefers matches to gaps."""
     toks = sents.select("doc_id", "sent", F.transform("words", lambda w: F.coalesce(w["lemma"], w["surface"])).alias("forms"))
     starts = toks.select("doc_id", "sent", "forms", F.posexplode("forms").alias("i", "first"))
     longest = cands.agg(F.max(F.size("lemmas")).alias("m"))
     # carry only the words that a unit from here could take
     near = starts.crossJoin(F.broadcast(longest)).select("doc_id", "sent", "i", "first", F.slice("forms", F.col("i") + 1, F.col("m") + gaps).alias("ahead"))
-    pairs = near.join(cands.select("cand_id", "lemmas", F.element_at("lemmas", 1).alias("first")).where(F.size("lemmas") > 0), "first")
+    pairs = near.join(small(cands.select("cand_id", "lemmas", F.element_at("lemmas", 1).alias("first")).where(F.size("lemmas") > 0)), "first")
     if not gaps:
         hit = pairs.where(F.slice("ahead", 1, F.size("lemmas")) == F.col("lemmas"))
         return hit.select("doc_id", "sent", "cand_id", F.transform(F.sequence(F.lit(0), F.size("lemmas") - 1), lambda k: k + F.col("i")).alias("places"))

@@ -80,3 +80,25 @@ def test_csv_is_written_by_all_tasks(spark, tmp_path):
     assert len(files) == 4 and all(f.read_text().startswith("id\tngram\t") for f in files)
     back = export.read_csv(spark, str(tmp_path / "t"))
     assert {(x.id, x.ngram, x.corpus, x.c1) for x in back.collect()} == {(k, f"a b{k}", str(k), None) for k in range(40)}
+
+
+def test_units_are_found_without_a_shuffle_of_words(spark):
+    from phrasemill.operators import annotating
+
+    units = spark.createDataFrame([(0, ["a", "b"]), (1, ["a"])], "cand_id long, lemmas array<string>")
+    found = annotating.contiguous(lists_of(spark, [["a", "b", "a", "c", "b"]]), units, gaps=1)
+    assert {(x.cand_id, *x.places) for x in found.collect()} == {(0, 0, 1), (0, 2, 4), (1, 0), (1, 2)}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_occurrences_are_made_once_to_be_measured(spark, sf):
+    assert not any("documents" in f for x in queries._gapped(spark, sf) for f in x.inputFiles())
+
+
+def test_parts_of_windows_grow_with_the_texts(spark):
+    from phrasemill.llm import passages
+
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert passages._parts(spark, 0) == fixed and passages._parts(spark, 10_000_000_000) == 625
+    docs = spark.createDataFrame([(1, "a " * 60)], "doc_id long, text string")
+    assert passages.candidates(passages.links(docs, letters=100_000_000), letters=100_000_000).rdd.getNumPartitions() == 7
