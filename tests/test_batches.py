@@ -102,3 +102,30 @@ def test_parts_of_windows_grow_with_the_texts(spark):
     assert passages._parts(spark, 0) == fixed and passages._parts(spark, 10_000_000_000) == 625
     docs = spark.createDataFrame([(1, "a " * 60)], "doc_id long, text string")
     assert passages.candidates(passages.links(docs, letters=100_000_000), letters=100_000_000).rdd.getNumPartitions() == 7
+
+
+@pytest.mark.parametrize("fmt", ["conll", "pwac", "treetagger"])
+def test_records_cut_by_column_equal_those_cut_by_row(fmt):
+    from phrasemill.sources import columns, text
+
+    r = random.Random(4)
+    names, mark = text.COLUMNS[fmt], text.MARKS[fmt]
+    cell = lambda n: str(r.choice([1, 2, 3])) if n == "id" and r.random() < 0.9 else r.choice(["a", "b c", mark, "${dollar}x${hash}", "1 2", ""])
+    line = lambda: r.choice(["# note", "", "<s>", "bad\tline"]) if r.random() < 0.1 else "\t".join(cell(n) for n in names)
+    values = ["\n".join(line() for _ in range(r.randint(0, 5))) for _ in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array(["f"] * 300), pa.array([0] * 300), pa.array(range(300)), pa.array(values)], ["file", "block", "seq", "value"])
+    got = {(x["seq"], x["part"]): (x["words"], x["occs"]) for o in columns.words_of(iter([b]), fmt, names, mark, None) for x in o.to_pylist()}
+    assert got == {(k, p): (w, o) for k, v in enumerate(values) for p, w, o in columns._odd(v, fmt, names, mark, None)} and got
+
+
+def test_column_formats_need_no_generated_rows(spark, tmp_path):
+    from phrasemill.sources import text
+
+    s = model.sentences(spark.createDataFrame([(1, "One two_three.\n\nfour $", "a")], "doc_id long, text string, lang string")).where(F.size("words") > 0)
+    for fmt in text.COLUMNS:
+        lines = text.write_columns(s, fmt)
+        assert "MapInArrow" in plan(lines.select("value"))
+        lines.select("value").write.text(str(tmp_path / fmt))
+        back = text.read_columns(spark, str(tmp_path / fmt), fmt)
+        assert sorted(w.surface for x in back.collect() for w in x.words) == sorted(["One", "two_three", ".", "four", "$"])
+        assert "Generate" not in plan(back)
