@@ -129,3 +129,21 @@ def test_column_formats_need_no_generated_rows(spark, tmp_path):
         back = text.read_columns(spark, str(tmp_path / fmt), fmt)
         assert sorted(w.surface for x in back.collect() for w in x.words) == sorted(["One", "two_three", ".", "four", "$"])
         assert "Generate" not in plan(back)
+
+
+def test_matches_begin_where_the_relaxed_pattern_does():
+    from phrasemill.plans import patterns
+
+    r = random.Random(5)
+    for x in (
+        '<pat><w id="x" pos="D"/><w pos="N"/><w lemma="back:x.lemma"/></pat>', '<pat><pat id="x" repeat="{1,2}"><w pos="D"/></pat><w pos="N"/><backpat id="x"/></pat>', '<pat><w id="n" pos="N"/><w pos="D" syndep="dep:n"/></pat>',
+        '<pat repeat="*"><w id="n" pos="N*"/><w><neg pos="D"/></w></pat>', '<pat><either><pat><w pos="N"/></pat><pat id="y"><w lemma="a"/><w/></pat></either><pat ignore="true" repeat="?"><w pos="D"/></pat><w pos="N"/></pat>',
+    ):
+        p = patterns.parse(x)[0]
+        begins = patterns.Begins(p)
+        for _ in range(200):
+            ws = [{"surface": w, "lemma": w, "pos": r.choice("DN"), "syn": f"dep:{r.randint(0, 4)}"} for w in r.choices("ab", k=r.randint(0, 7))]
+            for mode, over in (("All", True), ("Longest", True), ("Shortest", False)):
+                assert patterns.matches(p, ws, mode, over, begins=begins) == patterns.matches(p, ws, mode, over)
+    # most places are left out before the matcher walks them
+    assert list(patterns.Begins(patterns.parse('<pat><w id="n" pos="N"/><w pos="D" syndep="dep:n"/></pat>')[0])([{"pos": p} for p in "NNDDN"])) == [1]
